@@ -48,22 +48,16 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], out: str, slic
     lead = order[0]
     cuts = df.approxQuantile(lead, [i / slices for i in range(1, slices)], 1.0 / (20 * slices)) if slices > 1 else []
     cuts = sorted(set(cuts))
-    sliced = df.withColumn(
-        "_slice",
-        F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(
-            F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(lead))) if cuts else F.lit(0)
-        ),
-    )
+    # one non-null column stands for the keys, so that window and join use the same partitioning
+    key = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys])
+    place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(lead))) if cuts else F.lit(0)
+    sliced = df.withColumn("_key", key).withColumn("_slice", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(place))
     starts = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy("_key", "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(W.partitionBy(*keys).orderBy("_slice")) - F.col("_n"))
+        .withColumn("_start", F.sum("_n").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_n"))
         .drop("_n")
     )
-    ranked = sliced.withColumn("_row", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*[F.asc_nulls_first(c) for c in order])) - 1)
-    left, right = ranked.alias("l"), starts.alias("r")
-    on = F.lit(True)
-    for k in [*keys, "_slice"]:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    kept = [F.col(f"l.{c}") for c in df.columns if c != out]
-    return left.join(right, on).select(*kept, (F.col("l._row") + F.col("r._start")).cast("long").alias(out))
+    within = W.partitionBy("_key", "_slice").orderBy(*[F.asc_nulls_first(c) for c in order])
+    ranked = sliced.withColumn("_row", F.row_number().over(within) - 1).join(starts, ["_key", "_slice"])
+    return ranked.select(*[c for c in df.columns if c != out], (F.col("_row") + F.col("_start")).cast("long").alias(out))
