@@ -11,7 +11,9 @@ from . import sql
 from .chat import conversation_digests, format_turns
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify, train_language_id
+from .lm_scoring import score_texts
 from .mixing import mix_sources, tempered_weights
+from .nearest import nearest, usable_vectors
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .shared import shared_dir, staged
@@ -53,6 +55,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, tempered_weights(docs))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable_vectors(table(spark, sf_dir, "embeddings"))
+    return nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -64,6 +71,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", "held_out"])
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 5, 1))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
     write_tokens(table(spark, sf_dir, "documents"), out, tokenizer("byte_bpe_50k.json"), "byte", end_id=0)
