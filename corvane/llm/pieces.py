@@ -43,112 +43,126 @@ class PieceEncoder:
         self.shown = [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
         assert set(self.shown) == set(ByteLevel.alphabet())
         self.newline = self._plain(["\n"])[0] if kind == "byte" else b""
+        self.marks = {m: self._plain([m])[0] if m else b"" for m in ("", *".,;:!?")}
 
     def _plain(self, texts: Sequence[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(list(texts), add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in got]
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces that encode independently. For "byte" all but the first carry their leading space."""
+    def keys(self, text: str) -> list[str]:
+        """Pieces that encode independently. For "byte" a space belongs before all but the first, whose key starts with a line break."""
         if self.kind == "word":
             return text.split(" ")
         mixed = text[0] == " " or text[-1] == " " or any(x in text for x in _BESIDE) or _RARE.search(text)
         parts = _CUT.split(text) if mixed else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        parts[0] = "\n" + parts[0]
+        return parts
 
-    def _get(self, piece: str) -> bytes | None:
-        got = self.new.get(piece)
+    def _text(self, key: str) -> str:
+        if self.kind == "word":
+            return key
+        return key[1:] if key[:1] == "\n" else " " + key
+
+    def _known(self, key: str) -> bytes | None:
+        got = self.new.get(key)
         if got is None:
-            got = self.old.get(piece)
+            got = self.old.get(key)
             if got is not None:
-                self.new[piece] = got
+                self.new[key] = got
         return got
 
-    def _letters(self, piece: str) -> bytes:
-        """A piece of letters, perhaps with a leading space: a single pre-token."""
-        got = self._get(piece)
+    def _letters(self, word: str, lead: bool) -> bytes:
+        """A run of letters, perhaps with a space before it: a single pre-token."""
+        key = word if lead or self.kind == "word" else "\n" + word
+        got = self._known(key)
         if got is None:
-            word = piece.replace(" ", "Ġ") if self.kind == "byte" else piece.lower()
-            if not piece.isascii():
-                word = "".join(map(self.shown.__getitem__, (piece if self.kind == "byte" else piece.lower()).encode()))
-            ids = [t.id for t in self.model.tokenize(word)]
-            self.new[piece] = got = struct.pack(f"<{len(ids)}I", *ids)
+            shown = word if self.kind == "byte" else word.lower()
+            if not shown.isascii():
+                shown = "".join(map(self.shown.__getitem__, shown.encode()))
+            ids = [t.id for t in self.model.tokenize("Ġ" + shown if lead and self.kind == "byte" else shown)]
+            self.new[key] = got = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
-    def _simple(self, piece: str) -> bytes | None:
-        """Letters with one mark after them, and such parts between single newlines; None for anything else."""
-        if self.kind == "byte" and "\n" in piece:
-            parts = piece.split("\n")
-            got = [self._simple(p) if p and p != " " else None for p in parts]
+    def _simple(self, text: str, lead: bool) -> bytes | None:
+        """Letters with one mark after them, and such parts between single line breaks; None for anything else."""
+        if "\n" in text:
+            got = [self._simple(p, lead and not i) if p else (b"" if self.kind == "word" else None) for i, p in enumerate(text.split("\n"))]
             return None if None in got else self.newline.join(got)
-        if self.kind == "word" and "\n" in piece:
-            got = [self._simple(p) if p else b"" for p in piece.split("\n")]
-            return None if None in got else b"".join(got)
-        m = _WORD.fullmatch(piece, 1 if self.kind == "byte" and piece[0] == " " else 0)
+        m = _WORD.fullmatch(text)
         if not m:
             return None
-        if not m[2]:
-            return self._letters(piece)
-        mark = self._get(m[2])
-        if mark is None:
-            self.new[m[2]] = mark = self._plain([m[2]])[0]
-        return self._letters(piece[:-1]) + mark
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        word, mark = m.groups()
+        return self._letters(word, lead) + self.marks[mark]
+
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
         """Encode what the cache lacks; returns the pieces that are too long to be kept."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         rest, long = [], {}
-        for p in pieces:
-            if p in self.new:
+        for k in keys:
+            if self._known(k) is not None:
                 continue
-            got = self.old.get(p)
+            lead = self.kind == "byte" and k[:1] != "\n"
+            text = k if lead else self._text(k)
+            got = b"" if not text else self._simple(text, lead) if len(k) <= self.longest else None
             if got is None:
-                got = self._simple(p) if p and len(p) <= self.longest else (b"" if not p else None)
-            if got is None:
-                rest.append(p)
+                rest.append(k)
             else:
-                self.new[p] = got
+                self.new[k] = got
         for i in range(0, len(rest), 4096):
             block = rest[i : i + 4096]
-            for p, got in zip(block, self._plain(block), strict=True):
-                if len(p) <= self.longest:
-                    self.new[p] = got
+            for k, got in zip(block, self._plain([self._text(k) for k in block]), strict=True):
+                if len(k) <= self.longest:
+                    self.new[k] = got
                 else:
-                    long[p] = got
+                    long[k] = got
         return long
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes] = []
-        block: list[list[str]] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []  # documents with pieces to be encoded
         chars = 0
 
         def flush() -> None:
-            want = set().union(*block)
-            long = self.learn(want)
-            if long:
-                both = self.new.copy() if len(self.new) < 1000 else None
-                look = (lambda p: long[p] if p in long else self.new[p]) if both is None else {**both, **long}.__getitem__
-            else:
-                look = self.new.__getitem__
-            out.extend(b"".join(map(look, pieces)) for pieces in block)
-            block.clear()
+            long = self.learn({keys[i] for _, keys, _, missing in open_ for i in missing})
+            for at, keys, ids, missing in open_:
+                for i in missing:
+                    ids[i] = long[keys[i]] if keys[i] in long else self.new[keys[i]]
+                out[at] = b"".join(ids)
+            open_.clear()
 
         for text in texts:
-            block.append(self.cut(text) if text else [])
-            chars += len(text or "")
-            if chars > 1_000_000:
-                flush()
-                chars = 0
-        if block:
+            keys = self.keys(text) if text else []
+            ids = list(map(self.new.get, keys))
+            missing, i = [], -1
+            try:
+                while True:
+                    i = ids.index(None, i + 1)
+                    missing.append(i)
+            except ValueError:
+                pass
+            if missing:
+                open_.append((len(out), keys, ids, missing))
+                out.append(b"")
+                chars += len(text)
+                if chars > 1_000_000:
+                    flush()
+                    chars = 0
+            else:
+                out.append(b"".join(ids))
+        if open_:
             flush()
         return out
 
     def counts(self, pieces: Sequence[str]) -> list[int]:
-        """Number of tokens of each piece."""
-        long = self.learn(set(pieces))
-        return [len(long[p] if p in long else self.new[p]) >> 2 for p in pieces]
+        """Number of tokens of each pre-token of a "byte" vocabulary, in the order of the text."""
+        keys = [p[1:] if len(p) > 1 and p[0] == " " and not p[1].isspace() else "\n" + p for p in pieces]
+        ids = list(map(self.new.get, keys))
+        if None in ids:
+            long = self.learn({k for k, x in zip(keys, ids, strict=True) if x is None})
+            ids = [long.get(k) or self.new.get(k) or b"" for k in keys]
+        return [len(x) >> 2 for x in ids]
 
 
 _MADE: dict[tuple[str, str], PieceEncoder] = {}
