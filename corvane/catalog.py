@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = docs.select(F.explode(F.split("text", " ")).alias("token"))
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "token").limit(100)
+from .plans import code, lines, metrics, quality, vocab  # noqa: F401  (each registers its queries)
+from .plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"vocab_topk": vocab_topk}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
