@@ -11,7 +11,7 @@ from .registry import registered, table
 HIT = r"(?i)([0-9]{1,3}\.){3}[0-9]{1,3}|@|licen[cs]e|password|secret"
 LINES = "lines AS (SELECT doc_id, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS code FROM documents)"
 CRITERIA = f"""crit AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n,
-    list_filter(range(1, 1 + len(string_split(text, chr(10)))), i -> regexp_matches(string_split(text, chr(10))[i], '{HIT}')) AS hits FROM documents),
+    list_filter(range(1, 1 + len(string_split(text, chr(10)))), lambda i: regexp_matches(string_split(text, chr(10))[i], '{HIT}')) AS hits FROM documents),
     picked AS (SELECT doc_id, n, CASE WHEN len(hits) > 0 THEN hits WHEN n = 1 THEN [1] ELSE [n // 2] END AS c FROM crit)"""
 
 

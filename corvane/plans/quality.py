@@ -105,8 +105,8 @@ def conflict_stats(spark, sf_dir):
     return g.agg(F.count_if(clash).alias("n_conflicts"), total(F.col("n"), clash).alias("n_removed"), total(F.col("n") - 1, ~clash).alias("n_duplicates"))
 
 
-@registered("""SELECT doc_id, quality, CASE WHEN at < floor(n * 0.8) THEN 'train' WHEN at < floor(n * 0.9) THEN 'validation' ELSE 'test' END AS part
-    FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS at, count(*) OVER (PARTITION BY quality) AS n FROM labels)""")
+@registered("""SELECT doc_id, quality, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'validation' ELSE 'test' END AS part
+    FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS pos, count(*) OVER (PARTITION BY quality) AS n FROM labels)""")
 def stratified_split(spark, sf_dir):
     order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42")).cast("binary"))
     ranked = q.stratified_rank(table(spark, sf_dir, "labels"), "quality", order)

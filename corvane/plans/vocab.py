@@ -35,7 +35,7 @@ def vocab_topk(spark, sf_dir):
 
 
 @registered(f"""WITH {LEXED} SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct,
-    CAST(coalesce(list_sum(list_transform(tokens, t -> len(t))), 0) AS BIGINT) AS n_token_chars FROM lexed""")
+    CAST(coalesce(list_sum(list_transform(tokens, lambda t: len(t))), 0) AS BIGINT) AS n_token_chars FROM lexed""")
 def lex_token_counts(spark, sf_dir):
     chars = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
     n = F.size("tokens").cast("long")
@@ -72,7 +72,7 @@ def encode_head_tail(spark, sf_dir):
 @registered(f"""WITH {LEXED}, {FREQS}, {vocab_sql(2, 5000)}, {IDS},
     cut AS (SELECT doc_id, (list_concat(list_concat([2], ids), [3]))[1:64] AS x FROM ids)
     SELECT doc_id, len(x) AS seq_length, array_to_string(list_resize(x, 64, 0), ',') AS input_ids,
-           array_to_string(list_resize(list_transform(x, i -> 1), 64, 0), ',') AS attention_mask FROM cut""")
+           array_to_string(list_resize(list_transform(x, lambda i: 1), 64, 0), ',') AS attention_mask FROM cut""")
 def encode_tail_bos_eos(spark, sf_dir):
     docs = lexed(spark, sf_dir)
     ids = v.encode(docs, vocab_of(docs, 2, 5000), "doc_id")
@@ -82,7 +82,7 @@ def encode_tail_bos_eos(spark, sf_dir):
 
 @registered(f"""WITH {LEXED}, {FREQS}, {vocab_sql(2, 5000)}, {IDS},
     cut AS (SELECT doc_id, CASE WHEN len(ids) <= 33 THEN ids ELSE list_concat(ids[1:17], ids[len(ids)-15:len(ids)]) END AS x FROM ids)
-    SELECT doc_id, array_to_string(list_concat(list_transform(range(33 - len(x)), i -> 0), x), ',') AS input_ids FROM cut""")
+    SELECT doc_id, array_to_string(list_concat(list_transform(range(33 - len(x)), lambda i: 0), x), ',') AS input_ids FROM cut""")
 def encode_center(spark, sf_dir):
     docs = lexed(spark, sf_dir)
     ids = v.encode(docs, vocab_of(docs, 2, 5000), "doc_id")
