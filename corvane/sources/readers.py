@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 SPLITS = ("train", "validation", "test")
 #: The fields of a corpus row and their order.
-SAMPLE = T.StructType.fromDDL(
-    "id long, func string, func_clean string, normalized_func string, target boolean, project string, commit_id string, vul_lines string, lines array<string>, label array<int>, line_no array<int>"
-)
+SAMPLE = T.StructType()
+for _name in ("id", "func", "func_clean", "normalized_func", "target", "project", "commit_id", "vul_lines", "lines", "label", "line_no"):
+    _special = {"id": T.LongType(), "target": T.BooleanType(), "lines": T.ArrayType(T.StringType()), "label": T.ArrayType(T.IntegerType()), "line_no": T.ArrayType(T.IntegerType())}
+    SAMPLE = SAMPLE.add(_name, _special.get(_name, T.StringType()))
 #: File name endings of C and C++ sources.
 C_SUFFIXES = (".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".hh")
 JAVA_COLUMNS = ("label", "cve_id", "method_name", "code_snippet", "filename", "commit_hash", "programming_language", "cwe_id", "repo_url", "author_date", "commit_msg")
@@ -104,7 +105,7 @@ def read_sources(spark: SparkSession, path: str, recursive: bool = True, suffixe
     """(path, size, content) of source files, by Spark's own reader; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     wanted = F.concat(F.lit("."), F.lower(F.element_at(F.split("path", r"\."), -1))).isin(*suffixes)
-    return files.filter(wanted).select("path", F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.filter(wanted).select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def changed_files(repository: str, base: str) -> list[str]:
