@@ -104,3 +104,10 @@ def scan_by_function(spark, sf_dir):
 @registered()
 def finding_annotations(spark, sf_dir):
     return writers.annotations(writers.findings(scanner.scan_files(files(spark, sf_dir)).filter("vulnerable"), "src"))
+
+
+@registered()
+def feature_vector_v2(spark, sf_dir):
+    from ..functions.checks import check_features, checked_columns
+
+    return composed(spark, sf_dir).select("func_id", *checked_columns(F.col("code"))).select("func_id", *check_features())

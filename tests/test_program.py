@@ -157,3 +157,16 @@ def test_scan_and_reports(spark):
     assert writers.text_report(scanner.scan_files(files)).count() == 3
     roll = {r.path: r for r in scanner.file_rollup(scanner.scan_functions(files.filter("content is not null"))).collect()}
     assert roll["src/a.c"].n_functions == 1 and roll["src/a.c"].n_vulnerable == 1
+
+
+def test_second_feature_set(spark):
+    from corvane.functions.checks import check_features, checked_columns
+
+    code = "// head\nchar *p = malloc(n);\nif (p == NULL) return;\nstrcpy(p, q);\nstrcpy(r, s);\nif (i < 3) x = a[i] + b[k] + c[2];\nfree(p);\nfree(z);\nfd = fopen(q);\nif (fd < 0) {}\nread(fd, p, 1);"
+    f = spark.createDataFrame([(code,), ("",), (None,)], "c string").select(*checked_columns(F.col("c"))).select(*check_features()).collect()
+    g = f[0].asDict()
+    assert len(g) == 26 and g["loc"] == 10 and g["dangerous_call_count"] == 2 and g["dangerous_call_without_check_count"] == 1
+    assert (g["array_access_count"], g["array_access_without_bounds_check_count"]) == (3, 1)
+    assert (g["malloc_count"], g["malloc_without_free_count"], g["free_count"], g["free_without_null_check_count"]) == (1, 0, 2, 1)
+    assert g["unchecked_return_value_count"] == 1 and g["unchecked_return_value_ratio"] == round(1 / 3, 6)
+    assert set(f[1].asDict().values()) == set(f[2].asDict().values()) == {0.0}
