@@ -31,23 +31,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import parallelism, staged
+from .shared import parallelism, released, staged
 from .words import shingle_sets
 
 WORDS = 5
 PERCENT = 75
-GROUPS = 128
-FREQUENT = 100_000  # frequent shingles put last in the order, at most
-FREQUENT_FROM = 48  # documents
+GROUPS = 128  # of the tree's points; finer ones decide on the pairs it leaves
+FINEST = 13  # at most 2 ** 13 groups
+FREQUENT = 200_000  # frequent shingles put last in the order, at most
+FREQUENT_FROM = 12  # documents
 BUCKET = 400_000  # prefix entries in a bucket, about
 LOCAL = 4_000_000  # documents to a salt: bounds what one prefix shingle brings into a task
 TILE = 2048  # documents of a block that are compared at once
+LEAF = 64  # documents of a block that need no tree
+GROUP = 20_000  # rows of tiles that a call gets, about
 BROADCAST_IDS = 500_000
 SLICE = 512
 
@@ -62,11 +64,41 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def points_of(vecs: list[bytes]) -> np.ndarray:
-    """Count vectors, of which small ones are kept in bytes."""
-    if all(len(v) == GROUPS for v in vecs):
-        return np.frombuffer(b"".join(vecs), np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(v, np.uint8 if len(v) == GROUPS else np.uint32).astype(np.uint32) for v in vecs])
+def packed_point(s: np.ndarray) -> bytes:
+    """Counts per group, with a group or more for each shingle of all but the longest texts, so that the bound stays sharp for long texts."""
+    g = GROUPS.bit_length() - 1
+    while 1 << g < len(s) and g < FINEST:
+        g += 1
+    counts = np.bincount((s & np.uint64((1 << g) - 1)).astype(np.int64), minlength=1 << g)
+    return bytes([g]) + counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+class Points:
+    """Count vectors of several grains: groups are powers of two, so a finer one folds into any coarser."""
+
+    def __init__(self, packed: list[bytes]):
+        self.grain = np.array([p[0] for p in packed], np.int64)
+        self.raw = [np.frombuffer(p, np.uint8 if len(p) == 1 + (1 << p[0]) else np.uint32, offset=1) for p in packed]
+
+    def folded(self, rows: np.ndarray, g: int) -> np.ndarray:
+        out = np.empty((len(rows), 1 << g), np.uint32)
+        for k, r in enumerate(rows.tolist()):
+            out[k] = self.raw[r].reshape(-1, 1 << g).sum(0, dtype=np.uint32)
+        return out
+
+    def bounds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums of coordinate minima of pairs, each at the finer grain that both have."""
+        out = np.zeros(len(x), np.int64)
+        common = np.minimum(self.grain[x], self.grain[y])
+        for g in np.unique(common).tolist():
+            mine = np.flatnonzero(common == g)
+            step = max(1, (1 << 22) >> g)
+            for k in range(0, len(mine), step):
+                at = mine[k : k + step]
+                rows, inverse = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+                m = self.folded(rows, g)
+                out[at] = np.minimum(m[inverse[: len(at)]], m[inverse[len(at) :]]).sum(1, dtype=np.int64)
+        return out
 
 
 class CountVectorRTree:
@@ -148,8 +180,7 @@ def _index(frequent: np.ndarray):
                     if doc_id is not None and len(s):
                         rep = seen.setdefault(fp, doc_id)
                         if rep == doc_id:
-                            vec = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                            vec = vec.astype(np.uint8 if vec.max() < 256 else np.uint32).tobytes()
+                            vec = packed_point(s)
                             sigs = in_order(s, frequent)[: prefix_size(len(s))].tobytes()
                     for column, value in zip(out, (doc_id, rep, len(s), fp, vec, sigs), strict=True):
                         column.append(value)
@@ -186,39 +217,39 @@ def _deal(buckets: int, salts: int):
 DEALT = "bucket long, salt long, sigs binary, docs binary"
 
 
-def _stars(part: pa.Table) -> pa.Table:
-    """Each shingle's documents linked to the smallest of them; and the smallest ones, for a second level."""
-    sig = np.frombuffer(b"".join(part.column("sigs").to_pylist()), np.uint64)
-    doc = np.frombuffer(b"".join(part.column("docs").to_pylist()), np.int64)
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    centre = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-    apart = centre != doc
-    pairs = np.unique(np.stack([centre[apart], doc[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-    bucket = part.column("bucket")[0].as_py()
-    return pa.table(
-        {
-            "a": pa.array([*[None], *pairs[:, 0].tolist()], pa.int64()),
-            "b": pa.array([*[None], *pairs[:, 1].tolist()], pa.int64()),
-            "bucket": pa.array([bucket, *[None] * len(pairs)], pa.int64()),
-            "salt": pa.array([0, *[None] * len(pairs)], pa.int64()),
-            "sigs": pa.array([sig[first].tobytes(), *[None] * len(pairs)], pa.binary()),
-            "docs": pa.array([doc[first].tobytes(), *[None] * len(pairs)], pa.binary()),
-        }
-    )
+def _stars(carry: bool):
+    """Each shingle's documents linked to the smallest of them, and what shingles of three documents or more hold; with ``carry`` also all smallest ones, for a second level."""
+
+    def run(part: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(part.column("sigs").to_pylist()), np.uint64)
+        doc = np.frombuffer(b"".join(part.column("docs").to_pylist()), np.int64)
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        at = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        centre = doc[at][group]
+        apart = centre != doc
+        pairs = np.unique(np.stack([centre[apart], doc[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+        many = (np.diff(np.concatenate([at, [len(sig)]])) > 2)[group]  # a shingle of two documents has no pair but the star's
+        out = [pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}), pa.table({"sig": sig[many].view(np.int64), "doc_id": doc[many]})]
+        blobs = [[sig[at].tobytes()], [doc[at].tobytes()]] if carry else [[], []]
+        out.append(pa.table({"bucket": part.column("bucket")[: int(carry)], "sigs": pa.array(blobs[0], pa.binary()), "docs": pa.array(blobs[1], pa.binary())}))
+        return pa.concat_tables(out, promote_options="default").select([x.split()[0] for x in STARS.split(", ")])
+
+    return run
 
 
-STARS = f"a long, b long, {DEALT}"
+STARS = "a long, b long, sig long, doc_id long, bucket long, sigs binary, docs binary"
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose count vectors leave room for the overlap they need."""
     for b in batches:
         if b.num_rows:
-            x, y = (points_of(b.column(c).to_pylist()) for c in ("va", "vb"))
             n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            ok = np.minimum(x, y).sum(1, dtype=np.int64) >= needed(n, m)
+            points, k = Points([*b.column("va").to_pylist(), *b.column("vb").to_pylist()]), np.arange(len(n))
+            ok = points.bounds(k, k + len(n)) >= needed(n, m)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
 
@@ -250,24 +281,47 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = staged(mine.select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"))
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
     full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
-    return full.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct()
-
-
-def _across(part: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile, from different components, that the R-tree leaves."""
-    points = points_of(part["vec"].tolist())
-    sizes, doc, label, chunk = (part[c].to_numpy(np.int64) for c in ("n", "doc_id", "label", "chunk"))
-    low = chunk == chunk.min()
-    rows = np.flatnonzero(low)
-    tree = CountVectorRTree(points[rows], sizes[rows])
-    same, found = bool(low.all()), []
-    for i in range(len(doc)):
-        if same or not low[i]:
-            hit = rows[tree.search(points[i], int(sizes[i]))]
-            hit = hit[label[hit] != label[i]]
-            hit = hit[doc[hit] < doc[i]] if same else hit
-            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in hit]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+    found = staged(full.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct())
+    released(ids, sets)
+    return found
+
+
+def _across(part: pa.Table) -> pa.Table:
+    """Pairs from different components that the bound leaves, in each of the tiles at hand."""
+    points = Points(part.column("vec").to_pylist())
+    sig, i, j, sizes, doc, label, chunk = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j", "n", "doc_id", "label", "chunk"))
+    order = np.lexsort((chunk, j, i, sig))
+    sig, i, j, sizes, doc, label, chunk, place = (x[order] for x in (sig, i, j, sizes, doc, label, chunk, np.arange(len(sig))))
+    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    left, right, found = [], [], []
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        apart = (label[x] != label[y]) & (np.minimum(sizes[x], sizes[y]) >= needed(sizes[x], sizes[y]))
+        x, y = x[apart], y[apart]
+        left_over = points.bounds(place[x], place[y]) >= needed(sizes[x], sizes[y])
+        x, y = x[left_over], y[left_over]
+        found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
+
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
+        if e - s <= LEAF and i[s] == j[s]:  # a tree of one leaf: its pairs are bounded together with those of other blocks
+            x, y = np.triu_indices(e - s, 1)
+            left.append(x + s)
+            right.append(y + s)
+            continue
+        same = i[s] == j[s]
+        low = s + np.flatnonzero(same | (chunk[s:e] == i[s]))
+        base = points.folded(place[s:e], GROUPS.bit_length() - 1)
+        tree = CountVectorRTree(base[low - s], sizes[low])
+        hits, asked = [], range(s, e) if same else (s + np.flatnonzero(chunk[s:e] == j[s])).tolist()
+        for k in asked:
+            hit = low[tree.search(base[k - s], int(sizes[k]))]
+            hits.append(hit[hit < k] if same else hit)
+        if hits:
+            keep(np.concatenate(hits), np.repeat(np.array(asked), [len(h) for h in hits]))
+    if left:
+        keep(np.concatenate(left), np.concatenate(right))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -289,10 +343,10 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # stars around the smallest document of each prefix shingle
     buckets, salts = max(parallelism(spark), int(size[0] // BUCKET) + 1), int(size[1] // LOCAL) + 1
     dealt = nodes.select("doc_id", "sigs").mapInArrow(_deal(buckets, salts), DEALT)
-    stars = dealt.groupBy("bucket", "salt").applyInArrow(_stars, STARS)
+    stars = staged(dealt.groupBy("bucket", "salt").applyInArrow(_stars(salts > 1), STARS))
     if salts > 1:
-        stars = staged(stars)
-        stars = stars.unionByName(stars.filter("sigs is not null").select(*[x.split()[0] for x in DEALT.split(", ")]).groupBy("bucket").applyInArrow(_stars, STARS))
+        tops = stars.filter("sigs is not null").select("bucket", F.lit(0).cast("long").alias("salt"), "sigs", "docs")
+        stars = staged(stars.unionByName(tops.groupBy("bucket").applyInArrow(_stars(False), STARS)))
     star = staged(stars.filter("a is not null").select("a", "b").distinct())
     met = staged(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     vectors = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "vec"))
@@ -305,10 +359,12 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = staged(components(links))
 
     # blocks that hold several components are searched in full
+    if salts == 1:
+        entry = stars.filter("sig is not null").select("sig", "doc_id")
+    else:  # a shingle's documents were dealt over several salts
+        entry = nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long")
     label = F.coalesce("label", "doc_id").alias("label")
-    entry = nodes.join(met, "doc_id", "left_semi").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    entry = entry.select("doc_id", label, "sigs").mapInArrow(_entries, "sig long, doc_id long, label long")
-    entry = staged(entry)
+    entry = staged(entry.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", label))
     marks = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (1, 2)]
     mixed = entry.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), *marks).filter("lo <> hi")
     # of blocks with the same documents one is searched
@@ -317,10 +373,15 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tiles = inside.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
         "sig", "doc_id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
-    crossed = tiles.join(vectors, "doc_id").groupBy("sig", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    tiles = staged(tiles)
+    groups = int(tiles.count() // GROUP) + 1  # many small tiles to a call, each whole
+    tiles = tiles.join(vectors, "doc_id").withColumn("g", F.expr(f"pmod(xxhash64(sig, i, j), {groups})"))
+    crossed = tiles.groupBy("g").applyInArrow(_across, "a long, b long").distinct()
     more = verified(staged(crossed.join(star, ["a", "b"], "left_anti")), docs)
     links = staged(links.union(more))
-    final = components(links)
+    final = staged(components(links))
+    rows = staged(rows)
+    released(index, stars, star, met, vectors, entry, tiles, links, first, sure)
     return rows.join(final.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
     )
@@ -329,6 +390,5 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         blobs = b.column("sigs").to_pylist()
-        n = [len(x) >> 3 for x in blobs]
-        sig = np.frombuffer(b"".join(blobs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(b.column("doc_id").to_numpy(), n)), pa.array(np.repeat(b.column("label").to_numpy(), n))], ["sig", "doc_id", "label"])
+        docs = np.repeat(b.column("doc_id").to_numpy(), [len(x) >> 3 for x in blobs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(docs)], ["sig", "doc_id"])
