@@ -92,12 +92,11 @@ class SegmentTree:
         end = min(start + max(deleted, 0), self.length)
         first, base = self.leaf_at(max(start - CONTEXT, 0)) if self.length else (0, 0)
         first = min(first, len(self.leaves) - 1)
-        # a pre-token that ends within the context may change, so may not those before it
-        window, stop, last, reached = "", 0, first, base
+        # a pre-token that ends within the context may change; none before it can
+        last, reached = first, base
         while last < len(self.leaves) and reached < end:
             reached += sum(map(len, self.leaves[last]))
             last += 1
-        bounds: list[int] = []  # old boundaries behind the edit, in the window's new coordinates
         shift = len(inserted) - (end - start)
         ahead = 4
         while True:
@@ -106,7 +105,7 @@ class SegmentTree:
             joined = "".join(old)
             window = joined[: start - base] + inserted + joined[end - base :]
             whole = more == len(self.leaves)
-            leaf_ends, at = {}, base
+            leaf_ends, at = {}, base  # old boundaries behind the edit, in the window's coordinates
             for k in range(first, more):
                 at += sum(map(len, self.leaves[k]))
                 if at >= end:
@@ -125,7 +124,6 @@ class SegmentTree:
             if stop is not None:
                 break
             ahead *= 4
-        del bounds
         counts = count.counts(pieces)
         room, n = stop - first, len(pieces)
         if room == 0:
