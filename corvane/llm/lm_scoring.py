@@ -45,22 +45,26 @@ class LogBilinear:
 
     def log_probs(self, contexts: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of all classes after each of ``contexts``: a batched product, normalised."""
-        s = (self.context[contexts] @ self.mix) @ self.target.T + self.bias
+        s = ((self.context[contexts] @ self.mix) @ self.target.T + self.bias).astype(np.float64)
         s = s - s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
-def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32, noise: int = 16, batch: int = 4096, steps: int = 700, rate: float = 0.1, seed: int = 7) -> LogBilinear:
-    """Fit on ``pairs`` (previous, next) that occur ``counts`` times; deterministic for equal input."""
+def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32, noise: int = 16, pool: int = 256, batch: int = 2048, steps: int = 600, rate: float = 0.1, seed: int = 7) -> LogBilinear:
+    """Fit on ``pairs`` (previous, next) that occur ``counts`` times; deterministic for equal input.
+
+    Each pair is set against ``noise`` words, estimated from ``pool`` words that a batch shares.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     seen = np.bincount(pairs[:, 1], weights=counts, minlength=classes) + 0.5
     unigram = seen / seen.sum()
     m = LogBilinear(rng.normal(0, 0.1, (classes, dim)), np.eye(dim), rng.normal(0, 0.1, (classes, dim)), np.log(unigram))
     if not len(pairs):
         return LogBilinear(m.context * 0, m.mix, m.target * 0, m.bias * 0)
+    m = LogBilinear(*[p.astype(np.float32) for p in (m.context, m.mix, m.target, m.bias)])
     sums = [np.full_like(p, 1e-8) for p in (m.context, m.mix, m.target, m.bias)]
     total, heads = np.cumsum(counts / counts.sum()), np.cumsum(unigram)
-    log_noise = np.log(noise * unigram)
+    log_noise = np.log(noise * unigram).astype(np.float32)
 
     def step(p: np.ndarray, g: np.ndarray, s: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is not None:  # sum what falls on the same row
@@ -68,15 +72,15 @@ def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32
             order = np.argsort(inverse, kind="stable")
             g = np.add.reduceat(g[order], np.searchsorted(inverse[order], np.arange(len(at))))
             s[at] += g * g
-            p[at] += rate * g / np.sqrt(s[at])
+            p[at] += (rate * g / np.sqrt(s[at])).astype(np.float32)
         else:
             s += g * g
-            p += rate * g / np.sqrt(s)
+            p += (rate * g / np.sqrt(s)).astype(np.float32)
 
     for _ in range(steps):
         picked = pairs[np.minimum(np.searchsorted(total, rng.random(batch)), len(pairs) - 1)]
         h, w = picked[:, 0], picked[:, 1]
-        words = np.concatenate([w, np.minimum(np.searchsorted(heads, rng.random(noise * 64)), classes - 1)])
+        words = np.concatenate([w, np.minimum(np.searchsorted(heads, rng.random(pool)), classes - 1)])
         # each pair is told apart from its own word and from the shared noise words
         r = m.context[h]
         v = r @ m.mix
@@ -84,7 +88,7 @@ def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32
         true = (v * q[:batch]).sum(1) + m.bias[w] - log_noise[w]
         fake = v @ q[batch:].T + m.bias[words[batch:]] - log_noise[words[batch:]]
         g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_fake = -1 / (1 + np.exp(-np.clip(fake, -30, 30))) / 64
+        g_fake = -(noise / pool) / (1 + np.exp(-np.clip(fake, -30, 30)))
         g_v = g_true[:, None] * q[:batch] + g_fake @ q[batch:]
         g_q = np.concatenate([g_true[:, None] * v, g_fake.T @ v])
         g_b = np.concatenate([g_true, g_fake.sum(0)])
