@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINES = 96
+LINES = 56
 WIDTH = 2.4  # of a window at radius 1: a vector at the radius collides with chance 0.77
 SHARE = 0.715  # of the lines on which a verified vector collides, at least
-GROWTH = 1.12
-SHARD = 4096
+START = 0.35  # first radius, by the vectors' spread
+GROWTH = 1.15
+SHARD = 8192
 BLOCK = 1024
 
 
@@ -36,32 +37,30 @@ class CollisionIndex:
         self.x, self.ids = vectors, ids
         self.a = np.random.Generator(np.random.PCG64(seed)).normal(size=(vectors.shape[1], lines))
         p = vectors @ self.a
-        self.order = np.argsort(p, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(p, self.order.T, 0).T.copy()
+        # all lines' sorted arrays in one, each line shifted past the one before, so that one search meets all windows
+        order = np.argsort(p, axis=0, kind="stable").T
+        self.shift = np.arange(lines) * (4 * float(np.abs(p).max(initial=1.0)) + 1e6 * np.finfo(float).eps)
+        self.order = order.ravel()
+        self.sorted = (np.take_along_axis(p.T, order, 1) + self.shift[:, None]).ravel()
         centre = vectors.mean(0)
         self.scale = float(np.sqrt(((vectors - centre) ** 2).sum(1).mean())) or 1.0
         self.need = int(np.ceil(SHARE * lines))
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the ``k`` nearest found, nearest first."""
-        n, lines = len(self.x), len(self.order)
+        n, lines = len(self.x), len(self.shift)
         hits, done = np.zeros(n, np.int64), self.ids == own
-        target = q @ self.a
-        left = np.array([np.searchsorted(self.sorted[j], target[j]) for j in range(lines)])
-        right = left.copy()
+        p = q @ self.a
+        edge = np.arange(lines) * n  # windows stay within their line
+        left = right = np.clip(np.searchsorted(self.sorted, p + self.shift), edge, edge + n)
         left_n = int((~done).sum())
-        found, dist, radius = np.zeros(0, np.int64), np.zeros(0), 0.25 * self.scale
+        found, dist, radius = np.zeros(0, np.int64), np.zeros(0), START * self.scale
         while len(found) < left_n:
             half = WIDTH / 2 * radius
-            fresh = []
-            for j in range(lines):
-                lo, hi = np.searchsorted(self.sorted[j], [target[j] - half, target[j] + half])
-                lo, hi = min(lo, left[j]), max(hi, right[j])
-                if lo < left[j]:
-                    fresh.append(self.order[j, lo : left[j]])
-                if hi > right[j]:
-                    fresh.append(self.order[j, right[j] : hi])
-                left[j], right[j] = lo, hi
+            lo = np.minimum(np.clip(np.searchsorted(self.sorted, p - half + self.shift), edge, edge + n), left)
+            hi = np.maximum(np.clip(np.searchsorted(self.sorted, p + half + self.shift), edge, edge + n), right)
+            fresh = [self.order[i:j] for i, j in zip(lo.tolist(), left.tolist(), strict=True) if i < j] + [self.order[i:j] for i, j in zip(right.tolist(), hi.tolist(), strict=True) if i < j]
+            left, right = lo, hi
             if fresh:
                 hits += np.bincount(np.concatenate(fresh), minlength=n)
                 new = np.flatnonzero((hits >= self.need) & ~done)
