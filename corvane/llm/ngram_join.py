@@ -49,7 +49,7 @@ BUCKET = 400_000  # prefix entries in a bucket, about
 LOCAL = 4_000_000  # documents to a salt: bounds what one prefix shingle brings into a task
 TILE = 2048  # documents of a block that are compared at once
 LEAF = 64  # documents of a block that need no tree
-GROUP = 20_000  # rows of tiles that a call gets, about
+GROUP = 12_000  # rows of tiles that a call gets, about
 BROADCAST_IDS = 500_000
 SLICE = 512
 
@@ -261,6 +261,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted 16-bit forms of the sets: a quarter of their size."""
+    for b in batches:
+        forms = [np.sort(np.frombuffer(m.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for m in b.column("members")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary())], ["doc_id", "short"])
+
+
+def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose 16-bit forms share enough; equal shingles have equal forms, so no link is lost."""
+
+    def inside(s: np.ndarray, t: np.ndarray) -> int:
+        return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
+            s, t = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+            ok.append(bool(len(s) and len(t)) and min(inside(s, t), inside(t, s)) >= -(-PERCENT * (len(s) + len(t)) // (100 + PERCENT)))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
@@ -279,10 +300,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     mine = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = staged(mine.select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"))
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
+    short = staged(sets.mapInArrow(_short, "doc_id long, short binary"))
+    coarse = pairs.join(short.select(F.col("doc_id").alias("b"), F.col("short").alias("sb")), "b").join(short.select(F.col("doc_id").alias("a"), F.col("short").alias("sa")), "a")
+    likely = staged(coarse.select("a", "b", "sa", "sb").mapInArrow(_overlapping, "a long, b long").distinct())
+    with_b = likely.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
     full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
     found = staged(full.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct())
-    released(ids, sets)
+    released(ids, sets, short, likely)
     return found
 
 
