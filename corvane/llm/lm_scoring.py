@@ -174,10 +174,8 @@ def _score(lexicon: Lexicon, model: LogBilinear, end_count: int):
                 contexts, inverse = np.unique(prev, return_inverse=True)
                 logp = model.log_probs(contexts)[inverse, nxt] / np.log(10)
                 ends = edges[1:] + np.arange(1, len(edges))  # of each text among all tokens
-                sums = np.concatenate([[0.0], np.cumsum(logp)])
-                # running sums lose digits over long batches; texts are summed on their own
+                # each text is summed on its own: running sums over a batch would lose digits
                 score = np.array([logp[s:e].sum() for s, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)])
-                del sums
                 known = at >= 0
                 smooth = np.where(known, np.log10((lexicon.counts[at] if len(lexicon.counts) else np.zeros(len(at))) + 0.5), 0.0)
                 other = cls == OTHER
