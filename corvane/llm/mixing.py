@@ -35,6 +35,8 @@ PERIOD = 4096
 def whole_slots(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
     """Slots of each source in a period, by largest remainder, at least one for each positive weight."""
     positive = {k: float(v) for k, v in weights.items() if v > 0}
+    if not positive:
+        return {}
     total = sum(positive.values())
     if len(positive) > period:
         raise ValueError(f"{len(positive)} sources don't fit into a period of {period}")
