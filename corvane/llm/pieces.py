@@ -160,8 +160,10 @@ class PieceEncoder:
         keys = [p[1:] if len(p) > 1 and p[0] == " " and not p[1].isspace() else "\n" + p for p in pieces]
         ids = list(map(self.new.get, keys))
         if None in ids:
-            long = self.learn({k for k, x in zip(keys, ids, strict=True) if x is None})
-            ids = [long.get(k) or self.new.get(k) or b"" for k in keys]
+            missing = [i for i, x in enumerate(ids) if x is None]
+            long = self.learn({keys[i] for i in missing})  # may empty the cache: what was found above stays
+            for i in missing:
+                ids[i] = long[keys[i]] if keys[i] in long else self.new[keys[i]]
         return [len(x) >> 2 for x in ids]
 
 

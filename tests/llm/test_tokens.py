@@ -51,6 +51,14 @@ def test_segment_tree_keeps_counts_under_edits():
             assert tree.total == len(plain(BYTE, [text])[0]) and tree.length == len(text)
 
 
+def test_counts_hold_when_the_cache_rolls_over():
+    rnd = random.Random(12)
+    words = [f"w{i} " for i in range(40)]
+    enc = PieceEncoder(BYTE, "byte", limit=20)
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(200)]
+    assert [sum(enc.counts(split(t))) for t in texts] == [len(ids) for ids in plain(BYTE, texts)]
+
+
 def edited(text):
     t = text or ""
     n = len(t)
