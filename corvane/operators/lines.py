@@ -50,3 +50,22 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(seen, ["seed", "node"], "left_anti")
         seen = seen.unionByName(frontier)
     return seen
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): ``seeds`` and all that is reached from them along (src, dst), in as many rounds as it takes; null is a node without edges.
+
+    Each round starts from files, and only nodes that were new in the last one are followed.
+    """
+    links = _cut(edges.select("src", "dst").distinct())
+    seen = frontier = _cut(seeds.select("node").distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        known = seen.select(F.col("node").alias("_seen"))
+        frontier = _cut(step.join(known, F.col("node").eqNullSafe(F.col("_seen")), "left_anti"))
+        seen = _cut(seen.unionByName(frontier).distinct())  # distinct already; keeps the number of partitions
+    return seen
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()

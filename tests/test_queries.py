@@ -27,6 +27,13 @@ def test_query_without_sql_runs_twice_alike(spark, name):
     assert rows and rows == sorted(map(repr, catalog.queries()[name](spark, SF).collect()))
 
 
+def test_taint_follows_chains_of_any_length(spark, tmp_path):
+    rows = [(5 * k, k, float(k + 1)) for k in range(3, 16)] + [(5 * 40, 12, 3.0), (5 * 41, 14, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["taint_fixpoint"](spark, str(tmp_path)).collect()
+    assert sorted((r.node for r in got), key=lambda n: (n is None, n or 0)) == [*range(3, 17), None]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
