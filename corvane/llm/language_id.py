@@ -3,8 +3,8 @@
 A text is a normalised TF-IDF vector of hashed byte n-grams (orders 1 to 3, A-Z lower-cased, ASCII
 other than letters as blank). Each language has several centroids, found by spherical k-means, and a
 text gets the language of the centroid with the largest cosine. A text is rejected when it has no
-letter, or when its cosine is below the language's own bound: ``slack`` times the smallest cosine
-that a training text of that language has to its nearest centroid.
+letter, or when its cosine is below the language's own bound: ``slack`` times a low quantile of the
+cosines that training texts of that language have to their nearest centroid. Training texts have a letter.
 
 The model is fitted on at most ``per_language`` labelled texts of each language (those with the
 smallest hash of doc_id): a bounded, documented sample. Prediction reads every whole text, map-side.
@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIM = 4096
+LETTER = r"\p{L}"
 WINDOW = 1 << 19  # bytes counted at once
 _CODE = np.arange(256, dtype=np.uint32)
 _CODE[:128] = 32
@@ -111,6 +112,9 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+LOW = 0.01  # share of a language's training texts that may lie below what its bound is taken from
+
+
 def fit_centroids(counts: np.ndarray, langs: list[str], per_language: int = 4, slack: float = 0.5) -> CentroidModel:
     df = (counts > 0).sum(0)
     idf = np.log((1 + len(counts)) / (1 + df)) + 1
@@ -121,7 +125,7 @@ def fit_centroids(counts: np.ndarray, langs: list[str], per_language: int = 4, s
         c = _spherical_kmeans(mine, per_language)
         model.langs += [lang] * len(c)
         model.centroids = np.vstack([model.centroids, c.astype(np.float32)])
-        model.bound = np.concatenate([model.bound, np.full(len(c), slack * float((mine @ c.T).max(1).min()))])
+        model.bound = np.concatenate([model.bound, np.full(len(c), slack * float(np.quantile((mine @ c.T).max(1), LOW)))])
     return model
 
 
@@ -143,7 +147,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 800, centroids: int = 4, slack: float = 0.5) -> CentroidModel:
     """Fit on at most ``per_language`` rows of ``docs`` for each label."""
-    usable = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col("doc_id")).alias("_h")).filter("lang is not null and text is not null")
+    usable = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col("doc_id")).alias("_h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     ranked = usable.select("lang", "_h").withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= per_language)
     cutoff = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("_h").alias("h")).collect()}  # a row per language
     if not cutoff:
@@ -185,7 +189,7 @@ def _predict(model: CentroidModel, columns: list[str], names: tuple[str, str, st
 
 def identify(docs: DataFrame, model: CentroidModel, keep: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Columns ``keep`` of ``docs`` and, under ``names``, the language, its cosine and whether the text is rejected."""
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    lettered = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
     rows = docs.select(*keep, F.col(text_col).alias("_text"), lettered.alias("_lettered"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_predict(model, keep, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

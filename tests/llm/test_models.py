@@ -43,6 +43,19 @@ def test_language_id_on_hard_rows(hard, empty):
     assert identify(empty, model, ["doc_id"]).count() == 0
 
 
+def test_texts_without_letters_and_outliers_leave_the_rejection_bound(spark):
+    words = {"en": "the of and to in is that it was for", "fr": "le la les des une dans est que pour avec"}
+    rows = [(i, " ".join(w[(i * k + j) % 10] for k in (1, 3, 7) for j in range(6)), lang) for i in range(200) for lang, s in words.items() for w in [s.split()]]
+    kind = "doc_id long, text string, lang string"
+    clean = train_language_id(spark.createDataFrame(rows, kind))
+    blank = train_language_id(spark.createDataFrame([*rows, (900, "", "fr"), (901, "12 34", "fr"), (902, " ", "fr")], kind))
+    assert (blank.bound == clean.bound).all() and (np.linalg.norm(blank.centroids, axis=1) > 0.99).all()
+    odd = train_language_id(spark.createDataFrame([*rows, (900, "这是中文的一段文字", "fr")], kind), centroids=1)
+    assert min(odd.bound) > 0.25
+    far = spark.createDataFrame([(1, "x" * 200), (2, "я не знаю этого языка")], "doc_id long, text string")
+    assert all(r.rejected for r in identify(far, blank, ["doc_id"]).collect())
+
+
 def test_nce_learns_the_distribution_it_is_shown():
     rng = np.random.default_rng(5)
     p = rng.dirichlet(np.ones(20) * 0.3, 20)
