@@ -2,7 +2,7 @@
 
 Counts come from all training texts: of every word, and of every pair of neighbouring classes. A class is one of
 the most frequent words, the end of a text, or "other". The model is s(w | h) = (R[h] C) . Q[w] + b[w]; it
-learns to tell pairs drawn from the counts from pairs with a word drawn from the unigram distribution.
+learns to tell the counted pairs, in whole passes, from pairs with a word drawn from the unigram distribution.
 Scoring takes one matrix product for the distinct contexts of a batch and normalises its rows, so
 every token has a proper log-probability; words under "other" share its probability by their smoothed
 counts.
@@ -50,9 +50,28 @@ class LogBilinear:
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
+def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Visits of each pair in a pass, at most twice as many as there are pairs, and the weight of one; visits times weight is the count over the mean count."""
+    each = counts / counts.mean()
+    visits = np.ceil(each).astype(np.int64)
+    return visits, (each / np.maximum(visits, 1)).astype(np.float32)
+
+
+def _passes(visits: np.ndarray, batch: int, steps: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Places of the pairs in each batch, until a pass is over and there were ``steps`` batches."""
+    done = 0
+    while done < steps:
+        order = rng.permutation(np.repeat(np.arange(len(visits), dtype=np.int32), visits))
+        for i in range(0, len(order), batch):
+            yield order[i : i + batch]
+            done += 1
+
+
 def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32, noise: int = 16, pool: int = 256, batch: int = 2048, steps: int = 600, rate: float = 0.1, seed: int = 7) -> LogBilinear:
     """Fit on ``pairs`` (previous, next) that occur ``counts`` times; deterministic for equal input.
 
+    Whole passes over all pairs in random order, as many as it takes for at least ``steps`` steps. A pass meets a pair
+    once for each mean count it has, rounded up, and these visits share its count as their weight.
     Each pair is set against ``noise`` words, estimated from ``pool`` words that a batch shares.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -63,7 +82,8 @@ def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32
         return LogBilinear(m.context * 0, m.mix, m.target * 0, m.bias * 0)
     m = LogBilinear(*[p.astype(np.float32) for p in (m.context, m.mix, m.target, m.bias)])
     sums = [np.full_like(p, 1e-8) for p in (m.context, m.mix, m.target, m.bias)]
-    total, heads = np.cumsum(counts / counts.sum()), np.cumsum(unigram)
+    heads = np.cumsum(unigram)
+    visits, weights = shares(counts)
     log_noise = np.log(noise * unigram).astype(np.float32)
 
     def step(p: np.ndarray, g: np.ndarray, s: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -77,24 +97,23 @@ def train_nce(pairs: np.ndarray, counts: np.ndarray, classes: int, dim: int = 32
             s += g * g
             p += (rate * g / np.sqrt(s)).astype(np.float32)
 
-    for _ in range(steps):
-        picked = pairs[np.minimum(np.searchsorted(total, rng.random(batch)), len(pairs) - 1)]
-        h, w = picked[:, 0], picked[:, 1]
+    for at in _passes(visits, batch, steps, rng):
+        h, w, weight = pairs[at, 0], pairs[at, 1], weights[at]
         words = np.concatenate([w, np.minimum(np.searchsorted(heads, rng.random(pool)), classes - 1)])
         # each pair is told apart from its own word and from the shared noise words
         r = m.context[h]
         v = r @ m.mix
         q = m.target[words]
-        true = (v * q[:batch]).sum(1) + m.bias[w] - log_noise[w]
-        fake = v @ q[batch:].T + m.bias[words[batch:]] - log_noise[words[batch:]]
-        g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_fake = -(noise / pool) / (1 + np.exp(-np.clip(fake, -30, 30)))
-        g_v = g_true[:, None] * q[:batch] + g_fake @ q[batch:]
+        true = (v * q[: len(at)]).sum(1) + m.bias[w] - log_noise[w]
+        fake = v @ q[len(at) :].T + m.bias[words[len(at) :]] - log_noise[words[len(at) :]]
+        g_true = weight / (1 + np.exp(np.clip(true, -30, 30)))
+        g_fake = -(noise / pool) * weight[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
+        g_v = g_true[:, None] * q[: len(at)] + g_fake @ q[len(at) :]
         g_q = np.concatenate([g_true[:, None] * v, g_fake.T @ v])
         g_b = np.concatenate([g_true, g_fake.sum(0)])
         g_mix = r.T @ g_v
         step(m.context, g_v @ m.mix.T, sums[0], h)
-        step(m.mix, g_mix / batch, sums[1])
+        step(m.mix, g_mix / len(at), sums[1])
         step(m.target, g_q, sums[2], words)
         step(m.bias, g_b / 16, sums[3], words)
     return m

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.language_id import DIM, held_out, identify, ngram_counts, train_language_id
 from corvane.llm import language_id as li
-from corvane.llm.lm_scoring import LogBilinear, score_texts, train_nce
+from corvane.llm.lm_scoring import LogBilinear, score_texts, shares, train_nce
 from corvane.llm.nearest import nearest, usable_vectors
 
 from .conftest import HARD, SF
@@ -71,6 +71,18 @@ def test_nce_learns_the_distribution_it_is_shown():
     assert isinstance(train_nce(pairs[:0], counts[:0], 20), LogBilinear)
 
 
+def test_training_meets_every_pair_with_its_whole_count():
+    counts = np.array([1.0, 1, 2, 7, 1000, 50_000, 1])
+    visits, weight = shares(counts)
+    assert visits.min() >= 1 and visits.sum() <= 2 * len(counts) and weight.max() <= 1
+    assert np.allclose(visits * weight, counts / counts.mean())
+    n = 300  # two steps hold 16 of these pairs; the pass goes on until every context has been met
+    pairs = np.stack([np.arange(n), np.arange(n)[::-1]], 1)
+    model = train_nce(pairs, np.ones(n), n, batch=8, steps=2)
+    start = np.random.Generator(np.random.PCG64(7)).normal(0, 0.1, (n, 32)).astype(np.float32)
+    assert (np.abs(model.context - start).max(1) > 0).all()
+
+
 def test_scores_match_counts_and_beat_the_base(spark, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.union(spark.createDataFrame([(900_001, None, "x"), (900_002, "", "x"), (900_003, "Zzyzx unseen ZZYZX", "x")], docs.schema))
