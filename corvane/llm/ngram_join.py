@@ -225,6 +225,8 @@ def _stars(carry: bool):
         doc = np.frombuffer(b"".join(part.column("docs").to_pylist()), np.int64)
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])  # rows that repeat a doc_id
+        sig, doc = sig[once], doc[once]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
         at = np.flatnonzero(first)
         group = np.cumsum(first) - 1
@@ -386,7 +388,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if salts == 1:
         entry = stars.filter("sig is not null").select("sig", "doc_id")
     else:  # a shingle's documents were dealt over several salts
-        entry = nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long")
+        entry = nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct()
     label = F.coalesce("label", "doc_id").alias("label")
     entry = staged(entry.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", label))
     marks = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (1, 2)]

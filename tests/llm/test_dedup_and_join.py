@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.llm import ngram_join as nj
@@ -115,3 +117,10 @@ def test_rtree_leaves_every_pair_that_may_link():
     for i in range(0, 500, 7):
         want = np.flatnonzero(np.minimum(points, points[i]).sum(1) >= nj.needed(sizes, sizes[i]))
         assert sorted(tree.search(points[i], int(sizes[i]))) == want.tolist()
+
+
+def test_a_repeated_doc_id_is_in_a_block_once():
+    sig, doc = np.array([5] * 5 + [6] * 5, np.uint64), np.array([7, 7, 1, 2, 3, 8, 8, 1, 2, 3])
+    part = pa.table({"bucket": [0], "salt": [0], "sigs": [sig.tobytes()], "docs": [doc.tobytes()]})
+    got = nj._stars(False)(part).to_pylist()
+    assert sorted((r["sig"], r["doc_id"]) for r in got if r["sig"] is not None) == [(5, 1), (5, 2), (5, 3), (5, 7), (6, 1), (6, 2), (6, 3), (6, 8)]
