@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import crc, encoder
+from .pieces import crc, encoder, with_end
 from .shared import parallelism, spread_rank, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SLICE = 256
 
 
 def fullest(room: int, left: dict[int, int]) -> Counter[int]:
@@ -81,22 +80,21 @@ def placements(bins: list[tuple[Counter[int], int]]) -> dict[str, np.ndarray]:
 
 
 def _cut(path: str, kind: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
         for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                out: list[tuple] = []
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for p, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[s : s + 4 * capacity]
-                        out.append((doc_id, p, s >> 2, len(part) >> 2, crc(part)))
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at, ids, edges in enc.ids(whole.column("text")):
+                ids, edges = with_end(ids, edges, end_id)
+                n = np.diff(edges)
+                cuts = -(-n // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(len(n)), cuts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(n[doc] - start, capacity)
+                first = edges[doc] + start
+                sums = [crc(ids[s:e]) for s, e in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                ids_of = whole.column("doc_id").slice(at, len(n)).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

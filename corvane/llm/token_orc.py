@@ -21,28 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import crc, encoder
+from .pieces import crc, encoder, with_end
 from .shared import parallelism
 
 SCHEMA = "part int, doc_id long, start long, n_tokens int, ids array<int>"
 ORC = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-SLICE = 256
 
 
 def _encode(path: str, kind: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(path, kind), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-                n = np.array([len(x) >> 2 for x in ids], np.int64)
-                edges = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), pa.array(before + edges[:-1]), pa.array(n.astype(np.int32)), lists], ["part", "doc_id", "start", "n_tokens", "ids"])
+            for at, ids, edges in enc.ids(whole.column("text")):
+                ids, edges = with_end(ids, edges, end_id)
+                b = whole.slice(at, len(edges) - 1)
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), pa.array(before + edges[:-1]), pa.array(np.diff(edges).astype(np.int32)), lists], ["part", "doc_id", "start", "n_tokens", "ids"])
                 before += int(edges[-1])
 
     return run
