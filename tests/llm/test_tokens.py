@@ -1,3 +1,4 @@
+import functools
 import random
 import struct
 import zlib
@@ -7,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from corvane.llm import pieces
 from corvane.llm.packing import minimum_bin_slack, pack_documents
 from corvane.llm.pieces import PieceEncoder
 from corvane.llm.shared import shared_dir
@@ -16,22 +18,32 @@ from corvane.llm.token_orc import read_tokens, token_digests, write_tokens
 from .conftest import HARD
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", ",", "<|endoftext|>", "\xa0", "　", "中", "́", "\x1c", "\r\n", "-", " the", "ß", "İ", "Σ", "µ"]
+PARTS = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", ",", "<|endoftext|>", "\xa0", "　", "中", "́", "\x1c", "\r\n", "-", " the", "ß", "İ", "Σ", "µ", "\x85", "\u1680", "\u2028", "×", "!", "###", "&"]
 
 
-def plain(path, texts):
+@functools.cache
+def library(path, specials):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not specials
+    return tok
+
+
+def plain(path, texts, specials=True):
+    """A plain call of the library; without ``specials`` their strings are ordinary text."""
+    tok = library(path, specials)
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("window", [64, 4 << 20])
+@pytest.mark.parametrize("specials", [True, False])
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
-def test_pieces_give_the_ids_of_whole_texts(path, kind):
+def test_pieces_give_the_ids_of_whole_texts(path, kind, specials, window, monkeypatch):
+    monkeypatch.setattr(pieces, "WINDOW", window)
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 25))) for _ in range(4000)] + ["", " ", "\n", "x" * 5000, None]
-    enc = PieceEncoder(path, kind, limit=500)
+    enc = PieceEncoder(path, kind, limit=500, specials=specials)
     got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for k in range(0, len(texts), 700) for x in enc.encode(texts[k : k + 700])]
-    assert got == plain(path, texts)
+    assert got == plain(path, texts, specials)
 
 
 def test_segment_tree_keeps_counts_under_edits():
@@ -48,7 +60,7 @@ def test_segment_tree_keeps_counts_under_edits():
             s = min(s, len(text))
             text = text[:s] + new + text[s + d :]
             assert tree.text() == text and [p for leaf in tree.leaves for p in leaf] == split(text)
-            assert tree.total == len(plain(BYTE, [text])[0]) and tree.length == len(text)
+            assert tree.total == len(plain(BYTE, [text], specials=False)[0]) and tree.length == len(text)
 
 
 def test_counts_hold_when_the_cache_rolls_over():
@@ -67,10 +79,16 @@ def edited(text):
     return t
 
 
+def test_null_edits_are_passed_over(spark):
+    df = spark.createDataFrame([(1, "one two", [None, (0, 3, "ten")]), (2, "one two", None)], "doc_id long, text string, edits array<struct<start:int,deleted:int,inserted:string>>")
+    got = {r.doc_id: (r.n_edits, r.n_chars) for r in count_tokens_with_edits(df, BYTE, df["edits"]).collect()}
+    assert got == {1: (1, 7), 2: (0, 7)}
+
+
 def test_counts_with_edits_match_full_recounts(spark, hard, empty):
     got = count_tokens_with_edits(hard, BYTE, sample_edits(hard["text"])).collect()
     texts = [r[1] for r in HARD]
-    want = Counter((r[0], len(a), 3, len(b), len(edited(r[1]))) for r, a, b in zip(HARD, plain(BYTE, texts), plain(BYTE, [edited(t) for t in texts]), strict=True))
+    want = Counter((r[0], len(a), 3, len(b), len(edited(r[1]))) for r, a, b in zip(HARD, plain(BYTE, texts, False), plain(BYTE, [edited(t) for t in texts], False), strict=True))
     assert Counter(tuple(r)[:5] for r in got) == want
     assert max(r.n_reencoded for r in got) < 100
     assert count_tokens_with_edits(empty, BYTE, sample_edits(empty["text"])).count() == 0
