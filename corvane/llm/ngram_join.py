@@ -1,4 +1,4 @@
-"""Similarity self-join on word shingles: count-vector R-tree behind an exact prefix index.
+"""Similarity self-join on word shingles: a count-vector R-tree whose first level is an exact prefix index.
 
 Two documents link when 100 * |A n B| >= 75 * |A u B| over their distinct shingles. Shingles are
 hashed into groups; a document's counts per group are a point, and the sum of coordinate minima of two
@@ -6,19 +6,26 @@ points bounds the overlap of their sets from above. An R-tree over points (a nod
 coordinate maxima of what is below it) finds the pairs that the bound leaves, and those are verified
 on their sets.
 
-The tree alone can't prune among unrelated texts (their points all lie in one ball, so work grows
-with the square of the corpus). So it works inside blocks that lose no pair: a document with n
-shingles is indexed under its first n - ceil(0.75 n) + 1 in one global order (frequent ones last,
-then by hash); any two linked documents share one of these. The steps:
+Near the root such a tree can't prune among unrelated texts (their points all lie in one ball, so work
+grows with the square of the corpus). So the root branches by shingle, which loses no pair: a document
+with n shingles is below its first n - ceil(0.75 n) + 1 in one global order (frequent ones last, then by
+hash); any two linked documents share one of these. Subtrees (blocks) are what is shuffled:
 
 1. Frequent shingles, counted over all documents, a bounded list. It only sets the order.
 2. Prefixes meet in buckets of packed arrays. Within a bucket each prefix shingle links all its
    documents to the smallest one: a star, linear in the group, however large. Star pairs that
    the bound leaves are verified, and linked documents form first components.
-3. Blocks (prefix shingles) whose documents lie in several components are searched in full: all pairs
-   across components go through the R-tree, large blocks in tiles, and survivors are verified.
+3. Blocks (prefix shingles) whose documents lie in several components are searched in full: a subtree
+   each, bulk-loaded by size, yields all pairs across components that the bound leaves, and survivors
+   are verified. A block of more than TILE documents is parted by size first (sets that link differ in
+   size by 4/3 at most, so each band meets itself and the next), and what is still larger in tiles.
    So a group of near copies costs a star, and no link between different texts is lost.
 
+Points have two grains. Star pairs are bounded by the coarse one first (a group for four shingles), the
+pairs it leaves by fine points (a group for each shingle) and by 16-bit forms of the sets, each sent for
+the survivors alone, before whole sets decide. Blocks with the same smallest component go to the same
+call, where a document's fine point comes once, however many of its blocks are there.
+
 Documents with equal sets collapse per batch before all this, and by a fingerprint across batches.
 
 Defined results: a null, empty or wordless text has no shingles and links with nothing; rows that
@@ -37,21 +44,22 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import parallelism, released, staged
-from .words import shingle_sets
+from .words import blocks, shingle_sets
 
 WORDS = 5
 PERCENT = 75
-GROUPS = 128  # of the tree's points; finer ones decide on the pairs it leaves
+GROUPS = 64  # of a point, at least
+COARSE, FINE = 4, 1  # shingles to a group
 FINEST = 13  # at most 2 ** 13 groups
+FAN = 16  # entries of a node
 FREQUENT = 200_000  # frequent shingles put last in the order, at most
 FREQUENT_FROM = 12  # documents
 BUCKET = 400_000  # prefix entries in a bucket, about
 LOCAL = 4_000_000  # documents to a salt: bounds what one prefix shingle brings into a task
 TILE = 2048  # documents of a block that are compared at once
-LEAF = 64  # documents of a block that need no tree
-GROUP = 12_000  # rows of tiles that a call gets, about
+GROUP = 20_000  # rows of tiles that a call gets, about
 BROADCAST_IDS = 500_000
-SLICE = 512
+SHINGLES = 1 << 21  # counted at once
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -64,10 +72,10 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def packed_point(s: np.ndarray) -> bytes:
-    """Counts per group, with a group or more for each shingle of all but the longest texts, so that the bound stays sharp for long texts."""
+def packed_point(s: np.ndarray, per: int = FINE) -> bytes:
+    """Counts per group, with a group or more for ``per`` shingles of all but the longest texts, so that the bound stays sharp for long texts."""
     g = GROUPS.bit_length() - 1
-    while 1 << g < len(s) and g < FINEST:
+    while per << g < len(s) and g < FINEST:
         g += 1
     counts = np.bincount((s & np.uint64((1 << g) - 1)).astype(np.int64), minlength=1 << g)
     return bytes([g]) + counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
@@ -104,7 +112,7 @@ class Points:
 class CountVectorRTree:
     """Bulk-loaded R-tree over count vectors, searched by the bound on overlap."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 16):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = FAN):
         order = np.lexsort((points.argmax(1) if len(points) else [], sizes))  # neighbours in size, then in their fullest group
         self.points, self.sizes, self.order, self.fan = points[order], sizes[order], order, fan
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # coordinate maxima and smallest size of each node
@@ -114,38 +122,58 @@ class CountVectorRTree:
             high, low = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts)
             self.levels.append((high, low))
 
+    def join(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position) of all pairs whose overlap may suffice; the queries descend together, level by level."""
+        top = len(self.levels[-1][0]) if self.levels else len(self.points)
+        step, asked, hits = max(1, (1 << 15) // max(top, 1)), [], []
+        for s in range(0, len(points), step):
+            q = np.repeat(np.arange(s, min(s + step, len(points))), top)
+            at = np.tile(np.arange(top), min(s + step, len(points)) - s)
+            for depth in range(len(self.levels), -1, -1):
+                high, low = self.levels[depth - 1] if depth else (self.points, self.sizes)
+                left = np.concatenate([self._open(high[at[k : k + (1 << 15)]], low[at[k : k + (1 << 15)]], points[q[k : k + (1 << 15)]], sizes[q[k : k + (1 << 15)]], percent) for k in range(0, len(q), 1 << 15)] or [np.zeros(0, bool)])
+                q, at = q[left], at[left]
+                if depth:
+                    total = len(self.levels[depth - 2][0]) if depth > 1 else len(self.points)
+                    q, at = np.repeat(q, self.fan), (at[:, None] * self.fan + np.arange(self.fan)).ravel()
+                    q, at = q[at < total], at[at < total]
+            asked.append(q)
+            hits.append(self.order[at])
+        return (np.concatenate(asked), np.concatenate(hits)) if asked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    @staticmethod
+    def _open(high: np.ndarray, low: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+        return np.minimum(high, points).sum(1, dtype=np.int64) >= needed(low, sizes, percent)
+
     def search(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
         """Positions whose overlap with ``point`` may suffice."""
-        at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
-        for depth in range(len(self.levels), -1, -1):
-            high, low = self.levels[depth - 1] if depth else (self.points, self.sizes)
-            bound = np.minimum(high[at], point).sum(1, dtype=np.int64)
-            at = at[bound >= needed(low[at], np.int64(size), percent)]
-            if depth:
-                total = len(self.levels[depth - 2][0]) if depth > 1 else len(self.points)
-                at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
-                at = at[at < total]
-        return self.order[at]
+        return self.join(point[None, :], np.array([size], np.int64), percent)[1]
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([first, [len(h)]]))
+        return pa.RecordBatch.from_arrays([pa.array(h[first][n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+
     for b in batches:
-        seen, sets = set(), []
-        texts = b.column("text").cast(pa.binary()).to_pylist()
-        for i in range(0, len(texts), SLICE):
-            for s in shingle_sets([t or b"" for t in texts[i : i + SLICE]], WORDS):
+        seen, sets, size = set(), [], 0
+        for _, texts in blocks(b):
+            for s in shingle_sets(texts, WORDS):
                 key = (len(s), int(s.sum(dtype=np.uint64)))
                 if key not in seen:
                     seen.add(key)
                     sets.append(s)
-        h = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate([first, [len(h)]]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[first][n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+                    size += len(s)
+            if size > SHINGLES:
+                yield counted(sets)
+                sets, size = [], 0
+        yield counted(sets)
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many different texts share; those met twice in a batch are summed over all batches."""
+    """Sorted hashes of shingles that many different texts share; those met twice at once are summed over all batches."""
     rows = docs.select("text").mapInArrow(_frequent, "h long, n long")
     top = rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h").limit(FREQUENT)
     return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
@@ -164,27 +192,25 @@ def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
-INDEX = "doc_id long, rep long, n int, fp binary, vec binary, sigs binary"
+INDEX = "doc_id long, rep long, n int, fp binary, coarse binary, fine binary, sigs binary"
 
 
 def _index(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             seen: dict[bytes, int] = {}
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                sets = shingle_sets([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], WORDS)
-                for doc_id, s in zip(b.column("doc_id").to_pylist(), sets, strict=True):
-                    fp, rep, vec, sigs = fingerprint(s), None, None, None
+            for b, texts in blocks(whole):
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                for doc_id, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts, WORDS), strict=True):
+                    fp, rep, coarse, fine, sigs = fingerprint(s), None, None, None, None
                     if doc_id is not None and len(s):
                         rep = seen.setdefault(fp, doc_id)
                         if rep == doc_id:
-                            vec = packed_point(s)
+                            coarse, fine = packed_point(s, COARSE), packed_point(s, FINE)
                             sigs = in_order(s, frequent)[: prefix_size(len(s))].tobytes()
-                    for column, value in zip(out, (doc_id, rep, len(s), fp, vec, sigs), strict=True):
+                    for column, value in zip(out, (doc_id, rep, len(s), fp, coarse, fine, sigs), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
     return run
@@ -257,10 +283,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, SLICE):
-            b = whole.slice(i, SLICE)
-            sets = shingle_sets([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()], WORDS)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
+        for b, texts in blocks(whole):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, WORDS)], pa.binary())], ["doc_id", "members"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,24 +336,29 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def _across(part: pa.Table) -> pa.Table:
-    """Pairs from different components that the bound leaves, in each of the tiles at hand."""
-    points = Points(part.column("vec").to_pylist())
-    sig, i, j, sizes, doc, label, chunk = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j", "n", "doc_id", "label", "chunk"))
-    order = np.lexsort((chunk, j, i, sig))
-    sig, i, j, sizes, doc, label, chunk, place = (x[order] for x in (sig, i, j, sizes, doc, label, chunk, np.arange(len(sig))))
-    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+def _across(part: pa.Table, vectors: pa.Table) -> pa.Table:
+    """Pairs from different components that the bound leaves, in each of the tiles at hand; ``vectors`` has each document once."""
+    vectors = vectors.sort_by("doc")
+    points, ids = Points(vectors.column("vec").to_pylist()), vectors.column("doc").to_numpy()
+    sig, band, i, j, doc, label, chunk = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "band", "i", "j", "doc_id", "label", "chunk"))
+    order = np.lexsort((chunk, j, i, band, sig))
+    sig, band, i, j, doc, label, chunk = (x[order] for x in (sig, band, i, j, doc, label, chunk))
+    place = np.searchsorted(ids, doc)
+    sizes = vectors.column("n").to_numpy().astype(np.int64)[place]
+    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     left, right, found = [], [], []
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
         apart = (label[x] != label[y]) & (np.minimum(sizes[x], sizes[y]) >= needed(sizes[x], sizes[y]))
         x, y = x[apart], y[apart]
+        _, once = np.unique(np.minimum(place[x], place[y]) * len(ids) + np.maximum(place[x], place[y]), return_index=True)
+        x, y = x[once], y[once]  # documents meet in many blocks
         left_over = points.bounds(place[x], place[y]) >= needed(sizes[x], sizes[y])
         x, y = x[left_over], y[left_over]
         found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
 
     for s, e in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
-        if e - s <= LEAF and i[s] == j[s]:  # a tree of one leaf: its pairs are bounded together with those of other blocks
+        if e - s <= FAN and i[s] == j[s]:  # a tree of one leaf: its pairs are bounded together with those of other such trees
             x, y = np.triu_indices(e - s, 1)
             left.append(x + s)
             right.append(y + s)
@@ -338,18 +367,26 @@ def _across(part: pa.Table) -> pa.Table:
         low = s + np.flatnonzero(same | (chunk[s:e] == i[s]))
         base = points.folded(place[s:e], GROUPS.bit_length() - 1)
         tree = CountVectorRTree(base[low - s], sizes[low])
-        hits, asked = [], range(s, e) if same else (s + np.flatnonzero(chunk[s:e] == j[s])).tolist()
-        for k in asked:
-            hit = low[tree.search(base[k - s], int(sizes[k]))]
-            hits.append(hit[hit < k] if same else hit)
-        if hits:
-            keep(np.concatenate(hits), np.repeat(np.array(asked), [len(h) for h in hits]))
+        asked = np.arange(s, e) if same else s + np.flatnonzero(chunk[s:e] == j[s])
+        q, hit = tree.join(base[asked - s], sizes[asked])
+        q, hit = asked[q], low[hit]
+        once = hit < q if same else np.ones(len(q), bool)
+        keep(hit[once], q[once])
     if left:
         keep(np.concatenate(left), np.concatenate(right))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def bounded(pairs: DataFrame, points: DataFrame, grain: str) -> DataFrame:
+    """The pairs (a, b) whose points of a grain leave room for a link."""
+
+    def side(x: str) -> DataFrame:
+        return points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col(grain).alias(f"v{x}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long")
+
+
 def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id."""
     spark = docs.sparkSession
@@ -357,7 +394,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     index = staged(docs.mapInArrow(_index(frequent_shingles(docs)), INDEX))
     nodes = index.filter("sigs is not null")
     size = nodes.agg(F.sum(F.length("sigs") / 8), F.count(F.lit(1))).first()
-    rows = index.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    rows = staged(index.select("doc_id", F.col("n").cast("long").alias("n_shingles")))
     if not size[1]:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
 
@@ -375,44 +412,58 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
         stars = staged(stars.unionByName(tops.groupBy("bucket").applyInArrow(_stars(False), STARS)))
     star = staged(stars.filter("a is not null").select("a", "b").distinct())
     met = staged(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    vectors = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "vec"))
-
-    def side(x: str) -> DataFrame:
-        return vectors.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"))
+    points = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "coarse", "fine"))
+    if salts == 1:
+        entry = stars.filter("sig is not null").select("sig", "doc_id")
+    else:  # a shingle's documents were dealt over several salts
+        entry = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct())
+    released(index)
 
-    close = star.join(sure, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long").distinct()
-    links = staged(sure.union(verified(staged(close), docs)))
+    few = staged(bounded(star.join(sure, ["a", "b"], "left_anti"), points, "coarse"))
+    close = staged(bounded(few, points, "fine"))
+    links = staged(sure.union(verified(close, docs)))
+    released(few, close)
     first = staged(components(links))
 
     # blocks that hold several components are searched in full
-    if salts == 1:
-        entry = stars.filter("sig is not null").select("sig", "doc_id")
-    else:  # a shingle's documents were dealt over several salts
-        entry = nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct()
     label = F.coalesce("label", "doc_id").alias("label")
     entry = staged(entry.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", label))
-    marks = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (1, 2)]
-    mixed = entry.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), *marks).filter("lo <> hi")
-    # of blocks with the same documents one is searched
-    mixed = mixed.groupBy("lo", "hi", "m", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", F.expr(f"int(ceil(m / {TILE}))").alias("chunks"))
-    inside = entry.join(mixed, "sig").withColumn("chunk", F.expr("int(pmod(xxhash64(doc_id), chunks))"))
-    tiles = inside.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "sig", "doc_id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
-    )
-    tiles = staged(tiles)
+    tiles = staged(tiled(entry, points))
     groups = int(tiles.count() // GROUP) + 1  # many small tiles to a call, each whole
-    tiles = tiles.join(vectors, "doc_id").withColumn("g", F.expr(f"pmod(xxhash64(sig, i, j), {groups})"))
-    crossed = tiles.groupBy("g").applyInArrow(_across, "a long, b long").distinct()
-    more = verified(staged(crossed.join(star, ["a", "b"], "left_anti")), docs)
-    links = staged(links.union(more))
+    heavy = tiles.groupBy("lo").agg(F.expr(f"int(ceil(count(1) / {GROUP}))").alias("parts")).filter("parts > 1")
+    cell = F.expr("pmod(xxhash64(sig, band, i, j), coalesce(parts, 1))")
+    dealt = tiles.join(heavy, "lo", "left").withColumn("g", F.pmod(F.xxhash64("lo", cell), F.lit(groups))).drop("lo", "parts")
+    asked = dealt.select(F.col("g").alias("call"), F.col("doc_id").alias("doc")).distinct()
+    vectors = asked.join(points.select(F.col("doc_id").alias("doc"), "n", F.col("fine").alias("vec")), "doc")
+    crossed = dealt.groupBy("g").cogroup(vectors.groupBy("call")).applyInArrow(_across, "a long, b long").distinct()
+    links = staged(links.union(verified(staged(crossed.join(star, ["a", "b"], "left_anti")), docs)))
     final = staged(components(links))
-    rows = staged(rows)
-    released(index, stars, star, met, vectors, entry, tiles, links, first, sure)
+    released(stars, star, met, points, entry, tiles, links, first, sure)
     return rows.join(final.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
     )
 
 
+def tiled(entry: DataFrame, points: DataFrame) -> DataFrame:
+    """(sig, lo, band, doc_id, label, chunk, i, j), lo a block's smallest component: blocks whose documents lie in several components, the large ones in bands of sizes and in tiles (i, j) of their chunks."""
+    marks = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (1, 2)]
+    mixed = entry.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), *marks).filter("lo <> hi")
+    # of blocks with the same documents one is searched
+    mixed = mixed.groupBy("lo", "hi", "m", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "lo", "m")
+    large = staged(mixed.filter(F.col("m") > TILE).select("sig", "lo"))
+    found = entry.join(mixed.filter(F.col("m") <= TILE).select("sig", "lo"), "sig").select("sig", "lo", F.lit(0).alias("band"), "doc_id", "label", F.lit(0).alias("chunk"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if large.isEmpty():
+        return found
+    # sets that link differ in size by 4/3 at most, so they lie in the same band or in neighbouring ones
+    step = float(np.log(100 / PERCENT) * (1 + 1e-9))
+    own = F.floor(F.log("n") / step).cast("int")
+    inside = entry.join(large, "sig").join(points.select("doc_id", "n"), "doc_id").withColumn("band", F.explode(F.array(own, own + 1)))
+    many = inside.groupBy("sig", "band").agg(F.expr(f"int(ceil(count(1) / {TILE}))").alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    inside = inside.join(many.select("sig", "band", "chunks"), ["sig", "band"]).withColumn("chunk", F.expr("int(pmod(xxhash64(doc_id), chunks))"))
+    inside = inside.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    return found.unionByName(inside.select("sig", "lo", "band", "doc_id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")))
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         blobs = b.column("sigs").to_pylist()

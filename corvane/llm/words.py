@@ -1,24 +1,30 @@
 """Words and word shingles of whole texts as 64-bit hashes, by numpy over the bytes of many texts.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Separators are single bytes, so UTF-8 needs no
-decoding. A word's hash is a polynomial over a table of random 64-bit numbers, taken from running sums
-and mixed; equal words always have equal hashes, and different ones the same hash with chance 2^-64.
+decoding. A word's hash is multilinear: each byte's random 64-bit number times a random one for its place
+in the word, summed by running sums and mixed with the length. The places' numbers are no powers of a base,
+so there is no pattern (as Thue-Morse words are for powers modulo 2^64) on which different words meet;
+equal words always have equal hashes, and two different ones meet with chance 2^-60 at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-WINDOW = 1 << 20  # bytes hashed at once
+WINDOW = 1 << 18  # bytes hashed at once
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240501))
-_TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | _U(1)
+_TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _TABLE[65:91] = _TABLE[97:123]
 _MUL = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = []
+_places = np.zeros(0, np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -27,15 +33,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, WINDOW + 1024)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def places(n: int) -> np.ndarray:
+    """A random odd number for each place in a word; the first ``n`` never change."""
+    global _places
+    if len(_places) < n:
+        _places = mixed((np.arange(max(n, 4096), dtype=np.uint64) + _U(1)) * _U(_BASE)) | _U(1)
+    return _places
 
 
 def _window_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +49,24 @@ def _window_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not sep[0]:
         turn = np.concatenate([[0], turn])
     start, end = turn[0::2], turn[1::2]
-    up, down = _power(len(a) + 1)
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_TABLE[a] * up[: len(a)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mixed(h + (end - start).astype(np.uint64) * _U(_BASE)), start
+    n = end - start
+    first = np.cumsum(n) - n  # of each word among the bytes of all words
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_TABLE[a[~sep]] * places(int(n.max(initial=0)))[place], out=total[1:])
+    h = total[first + n] - total[first]
+    return mixed(h + n.astype(np.uint64) * _U(_BASE)), start
+
+
+def blocks(batch: pa.RecordBatch, column: str = "text", rows: int = 512, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows with about ``size`` bytes of text at most (or one row), and their texts; a null text is empty."""
+    texts = batch.column(column).cast(pa.large_binary())
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(edges, edges[at] + size, "right")) - 1))
+        yield batch.slice(at, stop - at), [t or b"" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -124,3 +124,44 @@ def test_a_repeated_doc_id_is_in_a_block_once():
     part = pa.table({"bucket": [0], "salt": [0], "sigs": [sig.tobytes()], "docs": [doc.tobytes()]})
     got = nj._stars(False)(part).to_pylist()
     assert sorted((r["sig"], r["doc_id"]) for r in got if r["sig"] is not None) == [(5, 1), (5, 2), (5, 3), (5, 7), (6, 1), (6, 2), (6, 3), (6, 8)]
+
+
+def test_a_block_that_needs_a_tree_yields_every_pair_its_points_leave():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.where(rnd.random(400) < rnd.choice([0.02, 0.1, 0.4]), rnd.integers(0, 1 << 63, 400).astype(np.uint64), base)) for _ in range(90)]
+    n = len(sets)
+    assert n > 3 * nj.FAN
+    part = pa.table({
+        "sig": [1] * n, "band": [0] * n, "doc_id": list(range(n)), "label": [k % 7 for k in range(n)], "chunk": [0] * n, "i": [0] * n, "j": [0] * n,
+    })
+    vectors = pa.table({"doc": list(range(n)), "n": [len(x) for x in sets], "vec": pa.array([nj.packed_point(x) for x in sets], pa.binary())})
+    points = nj.Points(vectors.column("vec").to_pylist())
+    x, y = np.triu_indices(n, 1)
+    size = np.array([len(s) for s in sets])
+    ok = (x % 7 != y % 7) & (points.bounds(x, y) >= nj.needed(size[x], size[y]))
+    want = set(zip(x[ok].tolist(), y[ok].tolist(), strict=True))
+    got = {(r["a"], r["b"]) for r in nj._across(part, vectors).to_pylist()}
+    assert got == want and 0 < len(want) < len(x) // 2
+    linked = {(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a % 7 != b % 7 and 100 * len(i := np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - len(i))}
+    assert linked and linked <= want
+
+
+def test_large_blocks_are_searched_in_bands_and_tiles(spark, monkeypatch):
+    rows = copies(11, 200)
+    monkeypatch.setattr(nj, "TILE", 6)
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_words_that_meet_under_powers_keep_apart():
+    from corvane.llm.words import blocks, words_of
+
+    turn = ["a", "b"]
+    for _ in range(11):  # Thue-Morse words of 2048 letters and their complements
+        turn = [turn[0] + turn[1], turn[1] + turn[0]]
+    h, edges = words_of([f"{turn[0]} {turn[1]} {turn[0].upper()}".encode(), b"", b"x"])
+    assert len(turn[0]) == 2048 and len(set(h.tolist())) == 3 and h[0] == h[2] and edges.tolist() == [0, 3, 3, 4]
+    texts = ["a b", None, "c" * 50, "", "d"]
+    got = [t for b, ts in blocks(pa.record_batch({"text": texts}).slice(1), size=10) for t in ts]
+    assert got == [(t or "").encode() for t in texts[1:]]
