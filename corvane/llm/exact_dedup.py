@@ -32,7 +32,7 @@ def normalised(text: Column) -> Column:
 
 
 def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """Integer names in sorted order inside each partition; the partition's number leads."""
+    """Integer names: the partition's number leads, then the place in its sorted order. Equal contents share a partition, so a name stands for one content."""
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
@@ -53,8 +53,11 @@ def block_names(docs: DataFrame, text_col: str, block_bytes: int, block_hash: Ca
     clashing = per_hash.filter("_same > 1").select("h")
     if not clashing.isEmpty():
         # blocks whose hash is shared by other contents: named once more, by content alone
-        source = body.select("rid", F.posexplode(F.expr(cut_expr(block_bytes))).alias("pos", "block")).withColumn("h", block_hash(F.col("block")))
-        mine = source.join(clashing, "h", "left_semi")
+        # (rid comes from the staged rows alone: read anew, the input may be in another order)
+        ids = at.join(clashing, "h", "left_semi").select("rid").distinct()
+        texts = body.select(F.unhex(F.sha2(F.col("_t"), 256)).alias("sha"), "_t").dropDuplicates(["sha"])
+        source = rows.join(ids, "rid").select("rid", "sha").join(texts, "sha").select("rid", F.posexplode(F.expr(cut_expr(block_bytes))).alias("pos", "block")).withColumn("h", block_hash(F.col("block")))
+        mine = staged(source.join(clashing, "h", "left_semi"))
         own = _named(mine.groupBy("block").agg(F.lit(1).alias("_one")), ["block"]).select("block", (-1 - F.col("name")).alias("name"))
         routed = routed.select("rid", "pos", "name").unionByName(mine.join(staged(own), "block").select("rid", "pos", "name"))
     return rows, staged(routed.select("rid", "pos", "name"))
@@ -120,13 +123,13 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; of rows that repeat both doc_id and text, one."""
     kept = staged(exact_dedup(docs, text_col, **options))
-    stay = kept.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter("_kept")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "_rows")
-    hashed = docs.withColumn("_own", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    found = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["_id"]) & (hashed["_own"] == stay["_sha"]))
-    once = found.filter("_rows = 1").select(*docs.columns)
-    if stay.filter("_rows > 1").isEmpty():
+    stay = kept.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_corvane_rows")).filter("_kept")
+    stay = stay.select(F.col("doc_id").alias("_corvane_id"), F.unhex("text_sha256").alias("_corvane_sha"), "_corvane_rows")
+    hashed = docs.withColumn("_corvane_own", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    found = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["_corvane_id"]) & (hashed["_corvane_own"] == stay["_corvane_sha"]))
+    once = found.filter("_corvane_rows = 1").select(*docs.columns)
+    if stay.filter("_corvane_rows > 1").isEmpty():
         return once
     # only rows that repeat are shuffled again
-    repeated = found.filter("_rows > 1").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    repeated = found.filter("_corvane_rows > 1").dropDuplicates(["doc_id", "_corvane_own"]).select(*docs.columns)
     return once.unionByName(repeated)

@@ -60,7 +60,7 @@ def ngram_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of hashed n-grams, a row per text; long texts are counted window by window."""
     out, block, size = [], [], 0
     for t in texts:
-        if len(t) > WINDOW or size + len(t) > WINDOW or len(block) >= 256:
+        if len(t) > WINDOW or size + len(t) > WINDOW or len(block) >= 64:
             if block:
                 out.append(_count_short(block))
             block, size = [], 0
@@ -135,8 +135,8 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, 512):
-            b = whole.slice(i, 512)
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
             counts = ngram_counts([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
             at = [np.flatnonzero(r) for r in counts]
             yield pa.RecordBatch.from_arrays(
@@ -148,34 +148,32 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 800, centroids: int = 4, slack: float = 0.5) -> CentroidModel:
     """Fit on at most ``per_language`` rows of ``docs`` for each label."""
     usable = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col("doc_id")).alias("_h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    ranked = usable.select("lang", "_h").withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= per_language)
+    # the smallest hashes of each label: first within 64 parts of it, then among what those leave
+    ranked = usable.select("lang", "_h").distinct()
+    for parts in ([F.col("lang"), F.pmod("_h", F.lit(64))], [F.col("lang")]):
+        ranked = ranked.withColumn("_r", F.row_number().over(W.partitionBy(*parts).orderBy("_h"))).filter(F.col("_r") <= per_language).drop("_r")
     cutoff = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("_h").alias("h")).collect()}  # a row per language
     if not cutoff:
         return CentroidModel([], np.zeros((0, DIM), np.float32), np.ones(DIM), np.zeros(0))
     limits = F.create_map(*[F.lit(x) for pair in sorted(cutoff.items()) for x in pair])
-    sample = usable.filter(F.col("_h") <= limits[F.col("lang")]).select("lang", "text")
+    # one row of those that share a hash (repeated or null ids), so that what is collected is bounded
+    sample = usable.filter(F.col("_h") <= limits[F.col("lang")]).groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", "text")
     rows = sample.mapInArrow(_sparse, "lang string, at binary, n binary").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    # repeated doc_ids share a hash: the bound holds for them too
-    kept, seen = [], {}
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
-    counts = np.zeros((len(kept), DIM), np.float32)
-    for row, r in zip(counts, kept, strict=True):
+    counts = np.zeros((len(rows), DIM), np.float32)
+    for row, r in zip(counts, rows, strict=True):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    return fit_centroids(counts, [r["lang"] for r in kept], centroids, slack)
+    return fit_centroids(counts, [r["lang"] for r in rows], centroids, slack)
 
 
 def _predict(model: CentroidModel, columns: list[str], names: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                lettered = b.column("_lettered").to_numpy(zero_copy_only=False)
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                lettered = b.column("_corvane_lettered").to_numpy(zero_copy_only=False)
                 if model.langs:
-                    counts = ngram_counts([t or b"" for t in b.column("_text").cast(pa.binary()).to_pylist()])
+                    counts = ngram_counts([t or b"" for t in b.column("_corvane_text").cast(pa.binary()).to_pylist()])
                     best, score = model.predict(counts)
                     lang = np.array(model.langs, object)[best]
                     rejected = ~lettered | (score < model.bound[best])
@@ -190,6 +188,6 @@ def _predict(model: CentroidModel, columns: list[str], names: tuple[str, str, st
 def identify(docs: DataFrame, model: CentroidModel, keep: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Columns ``keep`` of ``docs`` and, under ``names``, the language, its cosine and whether the text is rejected."""
     lettered = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
-    rows = docs.select(*keep, F.col(text_col).alias("_text"), lettered.alias("_lettered"))
+    rows = docs.select(*keep, F.col(text_col).alias("_corvane_text"), lettered.alias("_corvane_lettered"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_predict(model, keep, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -227,15 +227,16 @@ def score_texts(docs: DataFrame, train: Column, text_col: str = "text", head: in
     n_words, n_distinct = size[0] or 0, size[1]
     tokens, distinct = n_words + n_ends, n_distinct + (n_ends > 0)
 
-    # the least count whose words fit the head; counts fall into a bounded number of bands
-    bands = words.groupBy(F.floor(F.log2("c") * 16).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
-    least, room = None, head
+    # the most frequent words that fit the head: bands of counts, a bounded number, and of the band that doesn't fit the smallest hashes
+    band = F.floor(F.log2("c") * 16)
+    bands = words.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = 1 << 20, head
     for r in sorted(bands, key=lambda r: -r["band"]):
-        room -= r["n"]
-        if room < 0:
+        if r["n"] > room:
             break
-        least = r["least"]
-    top = (words.filter(F.col("c") >= least) if least is not None else words.limit(0)).toArrow()
+        room, least = room - r["n"], r["band"]
+    part = words.filter(band == max((r["band"] for r in bands if r["band"] < least), default=-1)).orderBy("h").limit(room)
+    top = words.filter(band >= least).unionByName(part).toArrow()
     h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]

@@ -10,11 +10,15 @@ period, not on the documents), and a document's place follows from its rank with
 Ranks are taken by doc_id over slices of each source, so that a source which holds a third of all
 rows isn't ranked in one task.
 
-A mix of N slots holds the first round(w * N) blocks of each source. A source with fewer blocks is
-in the mix whole and leaves its later slots empty; what another source has beyond its share is left
-out of the mix, but is still returned, with later slots, ``in_mix`` false.
+A mix has as many slots as there are blocks, and each source has within one block of its weight's share
+of them. A source with fewer blocks than that begins again with its first, so ``repeats`` says how often
+a block is in the mix; what another source has beyond its share is left out of the mix, but is still
+returned, with later slots, ``repeats`` 0 and ``in_mix`` false.
 
-Defined results: null sources are a source of their own; null doc_ids come first; repeated rows are
+The period has at least four slots for each source, so that any number of sources fits; one count per
+source and the schedule of a period are on the driver, and nothing that grows with the documents.
+
+Defined results: columns with the names of the results give way to them; null sources are a source of their own; null doc_ids come first; repeated rows are
 rows of their own; a source without a weight, or with weight 0, is never in the mix (slot null);
 weights are rounded to whole slots of the period, at least one each; an empty table gives no rows.
 """
@@ -86,23 +90,28 @@ def mix_sources(
     source_col: str = "source",
     block_docs: int = 4,
     period: int = PERIOD,
-    names: tuple[str, str, str] = ("block", "slot", "in_mix"),
+    names: tuple[str, str, str, str] = ("block", "slot", "in_mix", "repeats"),
 ) -> DataFrame:
-    """All rows of ``docs`` with their block within the source, its slot in the interleaved order, and whether the mix holds it."""
+    """All rows of ``docs`` with their block within the source, its first slot in the interleaved order, whether the mix holds it, and how often."""
     spark = docs.sparkSession
-    block, slot, in_mix = names
-    total = docs.count()
+    block, slot, in_mix, repeats = names
+    sizes = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string")).agg(F.count(F.lit(1))).collect()}  # a row per source
+    held = {k: -(-n // block_docs) for k, n in sizes.items()}
+    weights = {k if k is None else str(k): w for k, w in weights.items()}
+    weights = {k: w for k, w in weights.items() if k in held}
+    period = max(period, 1 << (4 * len(weights)).bit_length())
     slots = whole_slots(weights, period)
-    ranked = spread_rank(docs.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c == source_col or docs.schema[c].dataType.simpleString() in ("string", "bigint")])), [source_col], ["doc_id", "_tie"], "_rank", min(64, parallelism(spark))).drop("_tie")
-    rows = [(k, slots[k], at) for k, at in pfair(slots, period).items()] if slots else []
-    plan = spark.createDataFrame(rows, "_source string, _w int, _at array<int>").coalesce(1)
-    mixed_slots = -(-total // block_docs)
-    found = ranked.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")
-    j = F.floor(F.col("_rank") / block_docs)
-    place = F.floor(j / F.col("_w")) * period + F.element_at("_at", (j % F.col("_w") + 1).cast("int"))
-    return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        j.cast("long").alias(block),
-        place.cast("long").alias(slot),
-        F.coalesce(place < mixed_slots, F.lit(False)).alias(in_mix),
-    )
+    total = sum(held.values())
+    kept = [c for c in docs.columns if c not in names or c in (source_col, "doc_id")]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c == source_col or docs.schema[c].dataType.simpleString() in ("string", "bigint")])
+    ranked = spread_rank(docs.withColumn("_corvane_tie", tie), [source_col], ["doc_id", "_corvane_tie"], "_corvane_rank", min(64, parallelism(spark)))
+    rows = []
+    for k, at in (pfair(slots, period) if slots else {}).items():
+        share = total // period * slots[k] + sum(t < total % period for t in at)  # slots of the source in the mix
+        rows.append((k, slots[k], at, held[k], share))
+    plan = spark.createDataFrame(rows, "_corvane_source string, _corvane_w int, _corvane_at array<int>, _corvane_held long, _corvane_share long").coalesce(1)
+    found = ranked.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_corvane_source")), "left")
+    j, w = F.floor(F.col("_corvane_rank") / block_docs), F.col("_corvane_w")
+    place = F.floor(j / w) * period + F.element_at("_corvane_at", (j % w + 1).cast("int"))
+    times = F.coalesce(F.greatest(F.ceil((F.col("_corvane_share") - j) / F.col("_corvane_held")), F.lit(0)), F.lit(0)).cast("long")
+    return found.select(*[F.col(f"`{c}`") for c in kept], j.cast("long").alias(block), place.cast("long").alias(slot), (times > 0).alias(in_mix), times.alias(repeats))

@@ -13,9 +13,11 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A fresh folder name under ``spark.checkpoint.dir``; a local one only where that is unset and all of Spark is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="corvane-"))
         base = _LOCAL[0]
@@ -60,13 +62,13 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], out: str, slic
     # one non-null column stands for the keys, so that window and join use the same partitioning
     key = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys])
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(lead))) if cuts else F.lit(0)
-    sliced = df.withColumn("_key", key).withColumn("_slice", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(place))
+    sliced = df.withColumn("_corvane_key", key).withColumn("_corvane_slice", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(place))
     starts = (
-        sliced.groupBy("_key", "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_n"))
-        .drop("_n")
+        sliced.groupBy("_corvane_key", "_corvane_slice")
+        .agg(F.count(F.lit(1)).alias("_corvane_n"))
+        .withColumn("_corvane_start", F.sum("_corvane_n").over(W.partitionBy("_corvane_key").orderBy("_corvane_slice")) - F.col("_corvane_n"))
+        .drop("_corvane_n")
     )
-    within = W.partitionBy("_key", "_slice").orderBy(*[F.asc_nulls_first(c) for c in order])
-    ranked = sliced.withColumn("_row", F.row_number().over(within) - 1).join(starts, ["_key", "_slice"])
-    return ranked.select(*[c for c in df.columns if c != out], (F.col("_row") + F.col("_start")).cast("long").alias(out))
+    within = W.partitionBy("_corvane_key", "_corvane_slice").orderBy(*[F.asc_nulls_first(c) for c in order])
+    ranked = sliced.withColumn("_corvane_row", F.row_number().over(within) - 1).join(starts, ["_corvane_key", "_corvane_slice"])
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col("_corvane_row") + F.col("_corvane_start")).cast("long").alias(out))

@@ -77,3 +77,24 @@ def test_mix_of_hard_rows_keeps_all(hard, empty):
     assert len(got) == len(HARD)
     assert {r.slot for r in got if r.source == "c"} == {None} and not any(r.in_mix for r in got if r.source == "c")
     assert mix_sources(empty, tempered_weights(empty)).count() == 0
+
+
+def test_a_mix_meets_its_weights_also_when_a_source_runs_short(spark):
+    rows = [(i, "long" if i % 11 else "short") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mix_sources(docs, tempered_weights(docs)).collect()
+    slots = Counter()
+    for r in {(r.source, r.block, r.repeats) for r in got}:
+        slots[r[0]] += r[2]
+    total = sum(slots.values())
+    assert total == 275 and slots["short"] > 25  # 25 blocks of its own
+    share = 100**0.7 / (100**0.7 + 1000**0.7)
+    assert abs(slots["short"] - share * total) <= 1.1
+    many = spark.createDataFrame([(i, f"s{i % 1500}") for i in range(3000)], "doc_id long, source string")
+    assert mix_sources(many, tempered_weights(many), period=1024).filter("slot is not null").count() == 3000
+
+
+def test_columns_named_like_the_results_give_way(spark):
+    df = spark.createDataFrame([(1, "a", 9, 9, True, 9, 1)], "doc_id long, source string, block int, slot int, in_mix boolean, repeats int, _row int")
+    got = mix_sources(df, tempered_weights(df))
+    assert got.columns == ["doc_id", "source", "_row", "block", "slot", "in_mix", "repeats"] and got.first().in_mix
