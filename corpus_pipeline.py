@@ -3,7 +3,8 @@
 1. language ID: documents without a letter, or far from every language learned, go.
 2. exact dedup: of texts equal after lower-casing A-Z the largest doc_id stays.
 3. n-gram Jaccard join: of linked documents (five-word shingles, similarity 0.75 or more) the smallest doc_id stays.
-4. mixing: sources with more than their share of a mix (weights: rows to the power 0.7) are held to it.
+4. mixing: sources with more than their share of a mix (weights: rows to the power 0.7) are held to it
+   (blocks that the mix repeats, of sources with fewer than their share, are kept once: no copies come back).
 5. best-fit packing: what is left, as pieces in sequences of at most 4096 tokens.
 """
 
@@ -20,14 +21,14 @@ from corvane.llm.packing import pack_documents
 from corvane.llm.queries import tokenizer
 from corvane.llm.shared import staged
 
-OWN = ("_corvane_1", "_corvane_2", "_corvane_3")
+OWN = ("_corvane_1", "_corvane_2", "_corvane_3", "_corvane_4")
 
 #: No SQL: the language model, the similarity classes and the packing aren't SQL-expressible.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = identify(docs, train_language_id(docs), docs.columns, names=OWN)
+    known = identify(docs, train_language_id(docs), docs.columns, names=OWN[:3])
     return known.filter(~F.col(OWN[2])).select(*docs.columns)
 
 
