@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINES = 56
-WIDTH = 2.4  # of a window at radius 1: a vector at the radius collides with chance 0.77
+LINES = 64
+WIDTH = 2.7  # of a window at radius 1: a vector at the radius collides with chance 0.82
 SHARE = 0.715  # of the lines on which a verified vector collides, at least
 START = 0.35  # first radius, by the vectors' spread
 GROWTH = 1.15

@@ -104,6 +104,25 @@ def test_scores_match_counts_and_beat_the_base(spark, empty):
     assert score_texts(empty, F.lit(True), classes=32).count() == 0
 
 
+def test_recall_on_embeddings_in_one_shard_and_in_several(spark, monkeypatch):
+    from corvane.llm import nearest as ne
+
+    rows = usable_vectors(spark.read.parquet(f"{SF}/../sf0.1/embeddings.parquet"))
+    x = {r.vec_id: np.array(r.vector) for r in rows.collect()}
+    ids, m = np.array(sorted(x)), np.stack([x[i] for i in sorted(x)])
+    for shard in (8192, 300):
+        monkeypatch.setattr(ne, "SHARD", shard)
+        found = {}
+        for r in nearest(rows.withColumn("rank", F.lit("taken")), rows.filter("vec_id % 100 = 0")).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q, got in found.items():
+            d = np.sqrt(((m - x[q]) ** 2).sum(1))
+            d[ids == q] = np.inf
+            hits += len(got & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        assert len(found) == 20 and hits >= 0.95 * 200
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)) + 4 * rng.normal(size=(12, 16))[rng.integers(0, 12, 900)]
