@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,46 +100,57 @@ HAZARDS: dict[str, tuple[str, str | None, str, float]] = {
 LOOKAHEAD = 15  # lines behind an allocation in which its check counts
 
 
+#: The six forms of a check of {v} after its allocation.
+CHECK_FORMS = (r"\b{v}\s*(?:==|!=)\s*NULL\b", r"\bNULL\s*(?:==|!=)\s*{v}\b", r"if\s*\(\s*!?\s*{v}\s*\)", r"\b{v}\s*\?", r"\b(?:assert|Assert|ASSERT|BUG_ON|WARN_ON)\s*\([^)]*{v}")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it (Catalyst shares nothing inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def of_variable(form: str, v: Column) -> Column:
+    """A pattern with {v} replaced by a variable."""
+    front, *rest = form.split("{v}")
+    return F.concat(F.lit(front), *[x for part in rest for x in (v, F.lit(part))])
+
+
 def allocation_unchecked(code: Column) -> Column:
     """Whether some ``v = malloc(...)`` has no check of ``v`` on the next 15 lines.
 
-    The six check forms name the variable, so each is a pattern built from it per match; all of it runs
-    as array expressions over the text's lines.
+    The check forms name the variable, so each is a pattern built from it per match; all of it runs
+    as array expressions over the text's lines, which are cut once.
     """
-    lines = F.split(code, "\n")
-    found = F.regexp_extract_all(code, F.lit(r"(?s)(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\([^)]*\)"), F.lit(1))
+    allocated = r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\b"
 
-    def at_line(i: Column) -> Column:
-        variables = F.regexp_extract_all(F.element_at(lines, i + 1), F.lit(r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\b"), F.lit(1))
-        later = F.slice(lines, i + 2, F.lit(LOOKAHEAD))
+    def any_unchecked(lines: Column) -> Column:
+        found = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.regexp_extract_all(line, F.lit(allocated), F.lit(1)).alias("v"))), lambda x: F.size(x["v"]) > 0)
 
-        def unchecked(v: Column) -> Column:
-            form = F.concat(
-                F.lit(r"\b"), v, F.lit(r"\s*(?:==|!=)\s*NULL\b|\bNULL\s*(?:==|!=)\s*"), v, F.lit(r"\b|if\s*\(\s*!?\s*"), v, F.lit(r"\s*\)|\b"), v,
-                F.lit(r"\s*\?|\b(?:assert|Assert|ASSERT|BUG_ON|WARN_ON)\s*\([^)]*"), v,
-            )
-            return ~F.exists(later, lambda line: F.regexp_like(line, form))
+        def unchecked(x: Column) -> Column:
+            later = F.slice(lines, x["i"] + 2, F.lit(LOOKAHEAD))
+            return F.exists(x["v"], lambda v: bound(of_variable("|".join(CHECK_FORMS), v), lambda form: ~F.exists(later, lambda line: F.regexp_like(line, form))))
 
-        return F.exists(variables, unchecked)
+        return F.exists(found, unchecked)
 
-    return (F.size(found) > 0) & F.exists(F.sequence(F.lit(0), F.size(lines) - 1), at_line)
+    whole = F.regexp_count(code, F.lit(r"(?s)(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\([^)]*\)"))
+    return F.when(whole > 0, bound(F.split(code, "\n"), any_unchecked)).otherwise(F.lit(False))
 
 
 def freed_twice(code: Column) -> Column:
     """Whether a variable is freed again with no assignment to it on the lines strictly between."""
-    lines = F.split(code, "\n")
     free = r"\bfree\s*\(\s*(\w+)\s*\)"
-    at = F.flatten(F.transform(lines, lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(free), F.lit(1)), lambda v: F.struct(i.alias("line"), v.alias("v")))))
 
-    def again(x: Column, k: Column) -> Column:
-        before = F.filter(F.slice(at, F.lit(1), k), lambda y: y["v"] == x["v"])
-        last = F.element_at(before, -1)["line"]
-        between = F.slice(lines, last + 2, F.greatest(x["line"] - last - 1, F.lit(0)))
-        assigned = F.concat(F.lit(r"\b"), x["v"], F.lit(r"\s*="))
-        return (F.size(before) > 0) & ~F.exists(between, lambda line: F.regexp_like(line, assigned))
+    def any_again(lines: Column) -> Column:
+        at = F.flatten(F.transform(lines, lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(free), F.lit(1)), lambda v: F.struct(i.alias("line"), v.alias("v")))))
+
+        def again(frees: Column, x: Column, k: Column) -> Column:
+            last = F.array_max(F.transform(F.slice(frees, F.lit(1), k), lambda y: F.when(y["v"] == x["v"], y["line"])))
+            between = F.slice(lines, last + 2, F.greatest(x["line"] - last - 1, F.lit(0)))
+            return last.isNotNull() & ~F.exists(between, lambda line: F.regexp_like(line, of_variable(r"\b{v}\s*=", x["v"])))
+
+        return bound(at, lambda frees: F.exists(F.transform(frees, lambda x, k: F.coalesce(again(frees, x, k), F.lit(False))), lambda b: b))
 
-    flags = F.transform(at, lambda x, k: F.coalesce(again(x, k), F.lit(False)))
-    return F.exists(flags, lambda b: b)
+    return F.when(F.regexp_count(code, F.lit(free)) > 1, bound(F.split(code, "\n"), any_again)).otherwise(F.lit(False))
 
 
 def hazards(code: Column) -> dict[str, Column]:

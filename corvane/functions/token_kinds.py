@@ -12,18 +12,19 @@ KINDS = (
     "PAD", "UNKNOWN", "KEYWORD", "IDENTIFIER", "TYPE", "OPERATOR", "LITERAL", "PUNCTUATION", "DANGEROUS_CALL", "SAFE_CALL", "ALLOC", "FREE", "DEREF", "ARRAY_ACCESS", "NULL_CHECK", "BOUNDS_CHECK",
 )
 #: Words by id, in order of precedence; those marked lower are compared in lower case too.
-MEMBERS = (
-    ("DANGEROUS_CALL", True, "strcpy strcat sprintf vsprintf gets scanf fscanf sscanf vscanf vfscanf vsscanf printf fprintf vprintf vfprintf memcpy memmove memset atoi atol atof strtok mktemp tmpnam tempnam system popen execl execle execlp execv execve execvp"),
-    ("SAFE_CALL", True, "strncpy strncat snprintf vsnprintf memcpy_s memmove_s memset_s strcpy_s strcat_s sprintf_s fgets getline strlcpy strlcat"),
-    ("ALLOC", True, "malloc calloc realloc aligned_alloc valloc pvalloc memalign posix_memalign new new[] g_malloc g_malloc0 g_new g_new0 av_malloc av_mallocz av_realloc"),
-    ("FREE", True, "free delete delete[] g_free av_free av_freep"),
-    ("BOUNDS_CHECK", True, "strlen sizeof size length len count strnlen wcslen mbslen"),
-    ("NULL_CHECK", True, "NULL null nullptr 0"),
-    ("DEREF", False, "* ->"),
-    ("ARRAY_ACCESS", False, "[ ]"),
-)
-PUNCTUATION = "; , { } ( ) : ."
-OPERATORS = "+ - / % = == != < > <= >= && || ! & | ^ ~ << >> ++ --"
+MEMBERS = (("DANGEROUS_CALL", True, (
+    "strcpy", "strcat", "sprintf", "vsprintf", "gets", "scanf", "fscanf", "sscanf", "vscanf", "vfscanf", "vsscanf", "printf", "fprintf", "vprintf", "vfprintf",
+    "memcpy", "memmove", "memset", "atoi", "atol", "atof", "strtok", "mktemp", "tmpnam", "tempnam", "system", "popen", "execl", "execle", "execlp", "execv",
+    "execve", "execvp",
+)), ("SAFE_CALL", True, (
+    "strncpy", "strncat", "snprintf", "vsnprintf", "memcpy_s", "memmove_s", "memset_s", "strcpy_s", "strcat_s", "sprintf_s", "fgets", "getline", "strlcpy",
+    "strlcat",
+)), ("ALLOC", True, (
+    "malloc", "calloc", "realloc", "aligned_alloc", "valloc", "pvalloc", "memalign", "posix_memalign", "new", "new[]", "g_malloc", "g_malloc0", "g_new",
+    "g_new0", "av_malloc", "av_mallocz", "av_realloc",
+)), ("FREE", True, ("free", "delete", "delete[]", "g_free", "av_free", "av_freep")), ("BOUNDS_CHECK", True, ("strlen", "sizeof", "size", "length", "len", "count", "strnlen", "wcslen", "mbslen")), ("NULL_CHECK", True, ("NULL", "null", "nullptr", "0")), ("DEREF", False, ("*", "->")), ("ARRAY_ACCESS", False, ("[", "]")))
+PUNCTUATION = (";", ",", "{", "}", "(", ")", ":", ".")
+OPERATORS = ("+", "-", "/", "%", "=", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "!", "&", "|", "^", "~", "<<", ">>", "++", "--")
 
 
 def type_id(token: Column, known_types: bool = True) -> Column:
@@ -32,12 +33,12 @@ def type_id(token: Column, known_types: bool = True) -> Column:
     low = F.lower(token)
     out = F.when(token.isNull() | (token == ""), of("PAD"))
     for kind, lower, words in MEMBERS:
-        hit = token.isin(*words.split()) | (low.isin(*words.split()) if lower else F.lit(False))
+        hit = token.isin(*words) | (low.isin(*words) if lower else F.lit(False))
         out = out.when(hit, of(kind))
     if known_types:
-        out = out.when(token.isin(*names.TYPE_WORDS.split()), of("TYPE")).when(token.isin(*names.KEYWORDS.split()), of("KEYWORD"))
+        out = out.when(token.isin(*names.TYPE_WORDS), of("TYPE")).when(token.isin(*names.KEYWORDS), of("KEYWORD"))
     out = out.when(token.rlike(r"^[0-9]+$|^0x.") | token.startswith('"') | token.startswith("'"), of("LITERAL"))
-    return out.when(token.isin(*PUNCTUATION.split()), of("PUNCTUATION")).when(token.isin(*OPERATORS.split()), of("OPERATOR")).otherwise(of("IDENTIFIER"))
+    return out.when(token.isin(*PUNCTUATION), of("PUNCTUATION")).when(token.isin(*OPERATORS), of("OPERATOR")).otherwise(of("IDENTIFIER"))
 
 
 def type_ids(tokens: Column, limit: int) -> Column:

@@ -32,11 +32,19 @@ def test_java_vocabulary(spark):
     [
         ("gets(x);", ["gets"]), ("printf(buf);", ["format:printf"]), ('printf("%d", x);', []), ("strcpy(a, b);", ["copy:strcpy"]), ("strcpy(a, b); strlen(b);", []),
         ("p = (char *) malloc(3);\nuse(p);", ["allocation:p"]), ("p = (char *) malloc(3);\nif (p == NULL) return;", []), ("free(p);\nfree(p);", ["double_free:p"]),
+        ("free(a);\nfree(b);\nb = x;\nfree(b);\nq;\nfree(a);", ["double_free:a"]), ("free(a); free(b); free(b); free(a);", ["double_free:b"]),
         ("free(p);\nreturn p;", ["use_after_free:p"]), ("free(p);\np = NULL;\nreturn p;", []), (None, []),
     ],
 )
-def test_critical_patterns(code, want):
-    assert boosts.critical_patterns(code) == want
+def test_critical_patterns(spark, code, want):
+    assert spark.createDataFrame([(code,)], "c string").select(boosts.critical_patterns(F.col("c")).alias("f")).first().f == want
+
+
+def test_domains_are_urls_in_any_case():
+    from corvane.functions import c_tokens
+
+    assert c_tokens.string_word('"Example.Com"') == "URL_STR" and java_tokens.string_word('"Example.Com/x"') == "<regex_str>"
+    assert java_tokens.string_word('"get"') == "<http_method>" and java_tokens.string_word('"getter"') == "getter"
 
 
 def test_boost_columns(spark):
