@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import code, lines, metrics, program, quality, vocab  # noqa: F401  (each registers its queries)
+from .plans import code, lines, metrics, pointers, program, quality, samples, vocab  # noqa: F401  (each registers its queries)
 from .plans.registry import ORACLES, QUERIES, Query
 
 

@@ -92,6 +92,44 @@ def def_use_chains(access: DataFrame, key: str) -> DataFrame:
     return d.join(u, [key, "var_name"]).filter("_u >= _d").select(key, "var_name", "def_idx", "use_idx")
 
 
+def all_reaching(access: DataFrame, key: str) -> DataFrame:
+    """(key, from_idx, to_idx): every definition of a variable on the line of a use or before it, whatever lies between."""
+    return def_use_chains(access, key).select(key, F.col("def_idx").alias("from_idx"), F.col("use_idx").alias("to_idx"))
+
+
+def inside(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
+    """Pairs of (key, node, start, end) and (key, block, first, last) of which the first lies within the second."""
+    return inner.join(outer, key).filter("start >= first and end <= last")
+
+
+def last_block(lines: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """(key, line, block): of the blocks over a line the one with the largest id."""
+    return lines.join(blocks, key).filter("line between first and last").groupBy(key, "line").agg(F.max("block").alias("block"))
+
+
+def enclosing(lines: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, line, n_nodes, node): how many nodes span a line, and the smallest of them, then the one with the smallest id."""
+    over = lines.join(nodes, key).filter("line between start and end")
+    return over.groupBy(key, "line").agg(F.count(F.lit(1)).alias("n_nodes"), F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "node"))["node"].alias("node"))
+
+
+def nodes_in_range(nodes: DataFrame, low: int, high: int) -> DataFrame:
+    """Nodes that overlap a range of lines."""
+    return nodes.filter((F.col("end") >= low) & (F.col("start") <= high))
+
+
+def leaves(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes that are no node's parent."""
+    return nodes.join(nodes.select(key, F.col("parent").alias("node")).distinct(), [key, "node"], "left_anti")
+
+
+def neighbours(edges: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(node, n_before, n_after): distinct nodes one edge against and along the direction."""
+    e = edges if types is None else edges.filter(F.col("type").isin(*types))
+    ends = e.select(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast("long").alias("before")).union(e.select(F.col("dst").alias("node"), F.lit(None).cast("long").alias("after"), F.col("src").alias("before")))
+    return ends.groupBy("node").agg(F.count_distinct("before").alias("n_before"), F.count_distinct("after").alias("n_after"))
+
+
 def dependence_edges(access: DataFrame, data: DataFrame, control: DataFrame, key: str) -> DataFrame:
     """Line-level edges (src, dst, type, label): data edges without self loops, one for each pair and type with its smallest variable, and control edges."""
     lines = access.select(key, "idx", "line", "var_name")

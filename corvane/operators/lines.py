@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,4 +70,10 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """Checkpointed in the cluster's shared folder; in one of this machine's only where none is set and all of Spark is one process."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()

@@ -71,13 +71,22 @@ def threshold_sweep(rows: DataFrame, label: str, score: str, low: float, step: f
     return full.select(F.round(low + (F.col("band") - 1) * step, 4).alias("threshold"), "tp", "fp", "fn", "tn", *rates())
 
 
-def ks_statistic(rows: DataFrame, label: str, value: str) -> DataFrame:
-    """Largest distance between the two classes' cumulative distributions, over distinct values."""
+def ks_statistic(rows: DataFrame, label: str, value: str, bins: int = 256) -> DataFrame:
+    """Largest distance between the two classes' cumulative distributions, over distinct values.
+
+    Distinct values are cut at their approximate quantiles (any cuts give the same result); each range
+    has its own running sums, which start at the sums of the ranges before it.
+    """
     per = at_score(rows, label, value)
-    up = W.orderBy("score")
-    every = W.partitionBy()
-    gap = F.abs(F.sum("pos").over(up) / F.sum("pos").over(every) - F.sum("neg").over(up) / F.sum("neg").over(every))
-    return per.select(gap.alias("gap")).agg(F.round(F.max("gap"), 6).alias("ks"))
+    cuts = sorted(set(per.approxQuantile("score", [k / bins for k in range(1, bins)], 1 / (4 * bins))))
+    cut = per.withColumn("_bin", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("score"))) if cuts else F.lit(0))
+    sums = cut.groupBy("_bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    every, before = W.partitionBy(), W.orderBy("_bin")
+    running = [(F.sum(c).over(before) - F.col(c)).alias(f"{c}0") for c in ("_p", "_n")] + [F.sum(c).over(every).alias(f"{c}t") for c in ("_p", "_n")]
+    at = cut.join(F.broadcast(sums.select("_bin", *running)), "_bin")  # a row per range
+    up = W.partitionBy("_bin").orderBy("score")
+    gap = F.abs((F.sum("pos").over(up) + F.col("_p0")) / F.col("_pt") - (F.sum("neg").over(up) + F.col("_n0")) / F.col("_nt"))
+    return at.select(gap.alias("gap")).agg(F.round(F.max("gap"), 6).alias("ks"))
 
 
 def welch_t(rows: DataFrame, label: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.lexer import sql_tokens, tokens
-from .registry import registered, table
+from .registry import registered, spread, table
 
 #: One snippet for each remainder of the line number and key: allocations, copies, frees, indices, formats.
 SNIPPETS = {
@@ -35,7 +35,7 @@ def sql_code() -> str:
 
 
 def synth_code(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     k, q = (F.col("l_orderkey") % 7).cast("string"), F.col("l_quantity").cast("int").cast("string")
     pick, made = F.expr(PICK), None
     for n, s in SNIPPETS.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import graphs as gr
 from ..operators import lines as ln
 from .registry import registered, table
 
@@ -74,22 +75,37 @@ def asof_last_def(spark, sf_dir):
     return ln.last_before(e, ["user_id"], "event_id", F.col("event_type") == "click", "event_id", "last_click").filter("event_type = 'purchase'").select("event_id", "user_id", "last_click")
 
 
+def accesses(spark, sf_dir):
+    """Events as a text's accesses: a user is a text and a variable, signups define, clicks take an address, errors follow it, all others use."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "def").when(F.col("event_type") == "click", "address").when(F.col("event_type") == "error", "deref").otherwise("use")
+    return e.select("user_id", F.col("user_id").cast("string").alias("var_name"), F.col("event_id").alias("idx"), F.col("event_id").alias("line"), F.lit(0).alias("col"), kind.alias("access_type"))
+
+
 @registered("""SELECT d.event_id AS def_id, u.event_id AS use_id, d.user_id FROM events d JOIN events u ON u.user_id = d.user_id AND u.event_id >= d.event_id
-    WHERE d.event_type = 'signup' AND u.event_type = 'purchase'""")
+    WHERE d.event_type = 'signup' AND u.event_type <> 'signup'""")
 def def_use_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    d = e.filter("event_type = 'signup'").select(F.col("event_id").alias("def_id"), "user_id")
-    u = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("use_id"), "user_id")
-    return d.join(u, "user_id").filter("use_id >= def_id").select("def_id", "use_id", "user_id")
+    return gr.def_use_chains(accesses(spark, sf_dir), "user_id").select(F.col("def_idx").alias("def_id"), F.col("use_idx").alias("use_id"), "user_id")
+
+
+@registered("""SELECT u.event_id AS use_id, count(*) AS n_definitions, min(d.event_id) AS first_definition FROM events d JOIN events u ON u.user_id = d.user_id AND d.event_id <= u.event_id
+    WHERE d.event_type = 'signup' AND u.event_type <> 'signup' GROUP BY u.event_id""")
+def all_reaching_definitions(spark, sf_dir):
+    found = gr.all_reaching(accesses(spark, sf_dir), "user_id")
+    return found.groupBy(F.col("to_idx").alias("use_id")).agg(F.count(F.lit(1)).alias("n_definitions"), F.min("from_idx").alias("first_definition"))
+
 
+@registered("""SELECT user_id, max(d) AS from_id, u AS to_id FROM (SELECT u.user_id, u.event_id AS u, d.event_id AS d FROM events u JOIN events d ON d.user_id = u.user_id AND d.event_id < u.event_id
+    WHERE d.event_type = 'signup' AND u.event_type <> 'signup') GROUP BY user_id, u""")
+def reaching_edges(spark, sf_dir):
+    found = gr.reaching_definitions(accesses(spark, sf_dir), "user_id")
+    return found.select("user_id", F.col("from_idx").alias("from_id"), F.col("to_idx").alias("to_id"))
 
-@registered("""SELECT a.event_id AS address_id, d.event_id AS deref_id FROM events a JOIN events d ON a.user_id % 97 = d.user_id % 97 AND d.event_id > a.event_id AND d.event_id <= a.event_id + 400
-    WHERE a.event_type = 'signup' AND d.event_type = 'error'""")
+
+@registered("""SELECT a.event_id AS address_id, d.event_id AS deref_id FROM events a JOIN events d ON a.user_id = d.user_id AND d.event_id > a.event_id
+    WHERE a.event_type = 'click' AND d.event_type = 'error'""")
 def pointer_flow_theta(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 97).alias("f"), "event_type")
-    a = e.filter("event_type = 'signup'").select(F.col("event_id").alias("address_id"), "f")
-    d = e.filter("event_type = 'error'").select(F.col("event_id").alias("deref_id"), "f")
-    return a.join(d, "f").filter("deref_id > address_id and deref_id <= address_id + 400").select("address_id", "deref_id")
+    return gr.pointer_flow(accesses(spark, sf_dir), "user_id").select(F.col("from_idx").alias("address_id"), F.col("to_idx").alias("deref_id"))
 
 
 @registered("""WITH b AS (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM conversations GROUP BY conv_id), m AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant')
@@ -103,16 +119,72 @@ def interval_overlap(spark, sf_dir):
     return both.groupBy("conv_id", "lo", "hi").agg(F.count_if(inside).alias("n_inside"))
 
 
-EDGES = "edges AS (SELECT DISTINCT CAST(l_partkey % 500 AS BIGINT) AS src, CAST(l_suppkey % 500 AS BIGINT) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 1)"
+#: Customers and orders share one space of numbers, so that some orders lead on to further ones.
+EDGES = "edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders)"
+
+
+def order_edges(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")).distinct()
 
 
 @registered(f"""WITH RECURSIVE {EDGES}, walk(seed, node, distance) AS (
-    SELECT src, src, 0 FROM edges WHERE src % 25 = 0
+    SELECT DISTINCT src, src, 0 FROM edges
     UNION SELECT seed, dst, distance + 1 FROM walk JOIN edges ON src = node WHERE distance < 4)
     SELECT seed, node, min(distance) AS distance FROM walk GROUP BY seed, node""")
 def reachability_bounded(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 50 = 1").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst")).distinct()
-    return ln.reachable(e, e.filter("src % 25 = 0").select(F.col("src").alias("seed")), 4)
+    e = order_edges(spark, sf_dir)
+    return ln.reachable(e, e.select(F.col("src").alias("seed")).distinct(), 4)
+
+
+@registered(f"""WITH RECURSIVE {EDGES}, walk(seed, node, distance) AS (
+    SELECT DISTINCT dst, dst, 0 FROM edges
+    UNION SELECT seed, src, distance + 1 FROM walk JOIN edges ON dst = node WHERE distance < 3)
+    SELECT seed, node, min(distance) AS distance FROM walk WHERE node IN (SELECT dst FROM edges) AND node <> seed GROUP BY seed, node""")
+def backward_walk_to_control(spark, sf_dir):
+    """Against the edges, of all nodes met only those that are themselves led to (the control nodes) stay."""
+    e = order_edges(spark, sf_dir)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    met = ln.reachable(back, back.select(F.col("src").alias("seed")).distinct(), 3).filter("node <> seed")
+    return met.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select("seed", "node", "distance")
+
+
+@registered(f"""WITH {EDGES}, e AS (SELECT src AS node, NULL AS b, dst AS a FROM edges UNION ALL SELECT dst, src, NULL FROM edges) SELECT node, count(DISTINCT b) AS n_before, count(DISTINCT a) AS n_after FROM e GROUP BY node""")
+def edge_neighbours(spark, sf_dir):
+    return gr.neighbours(order_edges(spark, sf_dir))
+
+
+BLOCKS = """b AS (SELECT conv_id, role, min(turn) AS first, max(turn) AS last, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS block FROM conversations GROUP BY conv_id, role)"""
+
+
+def role_blocks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3).alias("block")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+
+
+@registered(f"WITH {BLOCKS}, m AS (SELECT conv_id, block, min(first) AS first, max(last) AS last FROM b GROUP BY ALL) SELECT c.conv_id, c.turn AS node, m.block FROM conversations c JOIN m ON m.conv_id = c.conv_id AND c.turn >= m.first AND c.turn <= m.last")
+def contained_statements(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("node"), F.col("turn").alias("start"), F.col("turn").alias("end"))
+    return gr.inside(s, role_blocks(spark, sf_dir), "conv_id").select("conv_id", "node", "block")
+
+
+@registered(f"WITH {BLOCKS}, m AS (SELECT conv_id, block, min(first) AS first, max(last) AS last FROM b GROUP BY ALL) SELECT c.conv_id, c.turn AS line, max(m.block) AS block FROM (SELECT DISTINCT conv_id, turn FROM conversations) c JOIN m ON m.conv_id = c.conv_id AND c.turn BETWEEN m.first AND m.last GROUP BY ALL")
+def line_to_block(spark, sf_dir):
+    lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line")).distinct()
+    return gr.last_block(lines, role_blocks(spark, sf_dir), "conv_id")
+
+
+@registered(f"""WITH {BLOCKS}, m AS (SELECT conv_id, block, min(first) AS first, max(last) AS last FROM b GROUP BY ALL), o AS (SELECT c.conv_id, c.turn, m.block, m.last - m.first AS size FROM (SELECT DISTINCT conv_id, turn FROM conversations) c JOIN m ON m.conv_id = c.conv_id AND c.turn BETWEEN m.first AND m.last)
+    SELECT conv_id, turn AS line, count(*) AS n_nodes, (min(size * 10 + block) % 10) AS node FROM o GROUP BY ALL""")
+def enclosing_nodes(spark, sf_dir):
+    lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line")).distinct()
+    nodes = role_blocks(spark, sf_dir).select("conv_id", F.col("block").alias("node"), F.col("first").alias("start"), F.col("last").alias("end"))
+    return gr.enclosing(lines, nodes, "conv_id").select("conv_id", "line", "n_nodes", F.col("node").cast("long").alias("node"))
+
+
+@registered("SELECT DISTINCT n.n_nationkey AS node FROM nation n WHERE n.n_nationkey NOT IN (SELECT n_regionkey FROM nation)")
+def leaf_nodes(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("tree"), F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("parent"))
+    return gr.leaves(n, "tree").select("node")
 
 
 @registered("""SELECT o_orderkey, c_custkey, n_name, r_name, 3 AS depth FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
@@ -123,11 +195,12 @@ def parent_chain(spark, sf_dir):
     return up.select("o_orderkey", "c_custkey", "n_name", "r_name", F.lit(3).alias("depth"))
 
 
-@registered("""WITH RECURSIVE e AS (SELECT DISTINCT user_id % 200 AS src, CAST(floor(value) AS BIGINT) % 200 AS dst FROM events WHERE event_id % 5 = 0),
+@registered("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, CAST(floor(value) AS BIGINT) AS dst FROM events),
     t(node) AS (SELECT DISTINCT src FROM e WHERE src < 5 UNION SELECT dst FROM t JOIN e ON src = node) SELECT node FROM t""")
 def taint_fixpoint(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select((F.col("user_id") % 200).alias("src"), (F.floor("value").cast("long") % 200).alias("dst")).distinct()
-    return ln.closure(e, e.filter("src < 5").select(F.col("src").alias("node")))
+    """Every event is an edge; the sources of taint are the users below 5."""
+    edges = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.floor("value").cast("long").alias("dst")).distinct()
+    return ln.closure(edges, edges.filter("src < 5").select(F.col("src").alias("node")))
 
 
 @registered("""SELECT user_id, count(*) FILTER (event_type = 'signup') AS n_alloc, count(*) FILTER (event_type = 'purchase') AS n_free FROM events GROUP BY user_id

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexer import sql_class, sql_tokens, token_class, tokens
 from ..operators import vocabulary as v
-from .registry import registered, table
+from .registry import registered, spread, table
 
 LEXED = f"lexed AS (SELECT doc_id, lang, {sql_tokens('text')} AS tokens FROM documents)"
 FREQS = "freqs AS (SELECT token, count(*) AS freq FROM (SELECT unnest(tokens) AS token FROM lexed) GROUP BY token)"
@@ -20,7 +20,7 @@ def vocab_sql(least: int, cap: int, source: str = "freqs") -> str:
 
 
 def lexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", tokens(F.col("text")).alias("tokens"))
 
 
 def vocab_of(docs: DataFrame, least: int, cap: int) -> DataFrame:
@@ -121,11 +121,11 @@ def vocab_coverage(spark, sf_dir):
     return v.coverage(freqs, v.build_vocabulary(freqs, 3, 1500))
 
 
-@registered(f"""WITH {LEXED}, p AS (SELECT lang, token, count(*) AS freq FROM (SELECT lang, unnest(tokens) AS token FROM lexed WHERE lang IN ('en', 'de')) GROUP BY ALL)
+@registered(f"""WITH {LEXED}, p AS (SELECT lang, token, count(*) AS freq FROM (SELECT lang, unnest(tokens) AS token FROM lexed WHERE lang IN ('en', 'de', 'es', 'fr')) GROUP BY ALL)
     SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM p GROUP BY token""")
 def vocab_merge(spark, sf_dir):
     docs = lexed(spark, sf_dir)
-    return v.merge_frequencies(*[v.token_frequencies(docs.filter(F.col("lang") == x)) for x in ("en", "de")])
+    return v.merge_frequencies(*[v.token_frequencies(docs.filter(F.col("lang") == x)) for x in ("en", "de", "es", "fr")])
 
 
 @registered(f"""WITH {LEXED}, {FREQS}, {vocab_sql(2, 5000)}, t AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM lexed)
@@ -137,3 +137,34 @@ def decode_roundtrip(spark, sf_dir):
     back = v.decode(v.encode(docs, vocab, "doc_id"), vocab, "doc_id").withColumnRenamed("tokens", "back")
     both = back.join(docs, "doc_id")
     return both.select("doc_id", F.array_join("back", " ").alias("decoded"), (F.col("back") == F.col("tokens")).alias("same"))
+
+
+@registered(f"""WITH {LEXED}, {FREQS}, best AS (SELECT token, freq FROM freqs ORDER BY freq DESC, token LIMIT 10)
+    SELECT count(*) AS n_distinct, CAST(sum(freq) AS BIGINT) AS n_tokens, (SELECT string_agg(token || '=' || freq, ' ' ORDER BY freq DESC, token) FROM best) AS top FROM freqs""")
+def token_counter_stats(spark, sf_dir):
+    return v.counter_stats(v.token_frequencies(lexed(spark, sf_dir)))
+
+
+@registered(f"""WITH {LEXED}, n AS (SELECT len(tokens) AS n FROM lexed)
+    SELECT count(*) AS n_rows, round(avg(n), 4) AS mean_length, CAST(min(n) AS BIGINT) AS min_length, CAST(max(n) AS BIGINT) AS max_length, round(avg(CASE WHEN n > 256 THEN 1.0 ELSE 0.0 END), 6) AS truncated_share FROM n""")
+def encoded_lengths(spark, sf_dir):
+    docs = lexed(spark, sf_dir)
+    return v.encoded_length_stats(v.encode(docs, vocab_of(docs, 2, 5000), "doc_id"), "ids", 256)
+
+
+@registered(f"""WITH {LEXED}, {FREQS}, {vocab_sql(2, 5000)}, asked(token) AS (VALUES ('the'), ('de'), ('<UNK>'), ('nowhere to be found'))
+    SELECT asked.token, vocab.id IS NOT NULL AS present, coalesce(vocab.freq, 0) AS freq FROM asked LEFT JOIN (SELECT token, id, freq FROM vocab UNION ALL SELECT '<UNK>', 1, 0) vocab USING (token)""")
+def vocab_membership(spark, sf_dir):
+    """Important tokens in a vocabulary or not."""
+    asked = spark.createDataFrame([("the",), ("de",), ("<UNK>",), ("nowhere to be found",)], "token string")
+    vocab = vocab_of(lexed(spark, sf_dir), 2, 5000)
+    return asked.join(vocab, "token", "left").select("token", F.col("id").isNotNull().alias("present"), F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))
+
+
+@registered(f"""WITH {LEXED}, i AS (SELECT doc_id, tokens, list_position(tokens, '.') AS p FROM lexed)
+    SELECT doc_id, CAST(CASE WHEN p > 0 THEN p - 1 ELSE floor(0.8 * len(tokens)) END AS BIGINT) AS position FROM i""")
+def separator_positions(spark, sf_dir):
+    from ..operators.samples import separator_position
+
+    ids = F.transform("tokens", lambda t: F.when(t == ".", 4).otherwise(9))
+    return lexed(spark, sf_dir).select("doc_id", separator_position(ids, 4).alias("position"))
