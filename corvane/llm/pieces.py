@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Letters that both splitting patterns and lower-casing treat alike in every Unicode version.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-WINDOW = 4 << 20  # bytes cut at once
+WINDOW = 2 << 20  # bytes cut at once
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True  # all but the apostrophe
 _ASCII_LETTER = np.zeros(256, bool)
@@ -76,7 +76,7 @@ class PieceEncoder:
     library; without, it is ordinary text. ``limit`` bounds the cache: two generations of so many pieces.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 400_000, longest: int = 48, specials: bool = True):
+    def __init__(self, path: str, kind: str, limit: int = 150_000, longest: int = 48, specials: bool = True):
         from tokenizers import Tokenizer, normalizers
         from tokenizers.pre_tokenizers import ByteLevel, Split
 
