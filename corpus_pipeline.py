@@ -19,7 +19,7 @@ from corvane.llm.mixing import mix_sources, tempered_weights
 from corvane.llm.ngram_join import BROADCAST_IDS, ngram_components
 from corvane.llm.packing import pack_documents
 from corvane.llm.queries import tokenizer
-from corvane.llm.shared import staged
+from corvane.llm.shared import released, staged
 
 OWN = ("_corvane_1", "_corvane_2", "_corvane_3", "_corvane_4")
 
@@ -56,6 +56,8 @@ STAGES = [("language ID", language_id), ("exact dedup", exact), ("n-gram Jaccard
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        last, docs = docs, staged(stage(spark, docs, sf_dir))
+        if k:
+            released(last)  # the stage before has been read for the last time
     return docs
