@@ -16,10 +16,12 @@ hash); any two linked documents share one of these. Subtrees (blocks) are what i
    documents to the smallest one: a star, linear in the group, however large. Star pairs that
    the bound leaves are verified, and linked documents form first components.
 3. Blocks (prefix shingles) whose documents lie in several components are searched in full: a subtree
-   each, bulk-loaded by size, yields all pairs across components that the bound leaves, and survivors
-   are verified. A block of more than TILE documents is parted by size first (sets that link differ in
+   each, bulk-loaded by size, finds all pairs across components that the bound leaves. Only the documents
+   of such pairs go on, with their whole sets: their pairs are verified in place, those of components that
+   a link has joined meanwhile are passed over, and each call yields a forest of links, never its pairs.
+   A block of more than TILE documents is parted by size first (sets that link differ in
    size by 4/3 at most, so each band meets itself and the next), and what is still larger in tiles.
-   So a group of near copies costs a star, and no link between different texts is lost.
+   So a group of near copies costs rows in proportion to its documents, and no link between different texts is lost.
 
 Points have two grains. Star pairs are bounded by the coarse one first (a group for four shingles), the
 pairs it leaves by fine points (a group for each shingle) and by 16-bit forms of the sets, each sent for
@@ -58,6 +60,8 @@ BUCKET = 400_000  # prefix entries in a bucket, about
 LOCAL = 4_000_000  # documents to a salt: bounds what one prefix shingle brings into a task
 TILE = 2048  # documents of a block that are compared at once
 GROUP = 20_000  # rows of tiles that a call gets, about
+SMALL = 5_000  # the same where whole sets come along
+STEP = 4096  # pairs between looks at what has been joined
 BROADCAST_IDS = 500_000
 SHINGLES = 1 << 21  # counted at once
 
@@ -313,69 +317,152 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = []
         for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
             s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(s) > len(t):
-                s, t = t, s
-            both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
-            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both) and both > 0)
+            ok.append(linked_sets(s, t))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def members(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, members): the whole shingle set of each of the documents ``ids``, one row each."""
+    ids = staged(ids)
+    mine = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = staged(mine.select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"))
+    released(ids)
+    return sets
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole shingle sets meet the threshold."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    mine = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = staged(mine.select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"))
+    sets = members(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     short = staged(sets.mapInArrow(_short, "doc_id long, short binary"))
     coarse = pairs.join(short.select(F.col("doc_id").alias("b"), F.col("short").alias("sb")), "b").join(short.select(F.col("doc_id").alias("a"), F.col("short").alias("sa")), "a")
     likely = staged(coarse.select("a", "b", "sa", "sb").mapInArrow(_overlapping, "a long, b long").distinct())
     with_b = likely.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
     full = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
     found = staged(full.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct())
-    released(ids, sets, short, likely)
+    released(sets, short, likely)
     return found
 
 
-def _across(part: pa.Table, vectors: pa.Table) -> pa.Table:
-    """Pairs from different components that the bound leaves, in each of the tiles at hand; ``vectors`` has each document once."""
-    vectors = vectors.sort_by("doc")
-    points, ids = Points(vectors.column("vec").to_pylist()), vectors.column("doc").to_numpy()
+class Forest:
+    """Components that grow while links are found."""
+
+    def __init__(self, n: int):
+        self.top = np.arange(n)
+
+    def tops(self) -> np.ndarray:
+        while (self.top != (up := self.top[self.top])).any():
+            self.top = up
+        return self.top
+
+    def find(self, x: int) -> int:
+        top = self.top
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = int(top[x])
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.top[y] = x
+
+
+def _left_over(part: pa.Table, ids: np.ndarray, points: Points, n: np.ndarray) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The rows of tiles at hand in order, and their pairs from different components that the bound leaves; ``ids`` (sorted), ``points`` and sizes ``n`` have each document once."""
+    part = part.sort_by([(c, "ascending") for c in ("sig", "band", "i", "j", "chunk")])
     sig, band, i, j, doc, label, chunk = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "band", "i", "j", "doc_id", "label", "chunk"))
-    order = np.lexsort((chunk, j, i, band, sig))
-    sig, band, i, j, doc, label, chunk = (x[order] for x in (sig, band, i, j, doc, label, chunk))
     place = np.searchsorted(ids, doc)
-    sizes = vectors.column("n").to_numpy().astype(np.int64)[place]
+    sizes = n[place]
     first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-    left, right, found = [], [], []
 
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
+    def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         apart = (label[x] != label[y]) & (np.minimum(sizes[x], sizes[y]) >= needed(sizes[x], sizes[y]))
         x, y = x[apart], y[apart]
         _, once = np.unique(np.minimum(place[x], place[y]) * len(ids) + np.maximum(place[x], place[y]), return_index=True)
         x, y = x[once], y[once]  # documents meet in many blocks
-        left_over = points.bounds(place[x], place[y]) >= needed(sizes[x], sizes[y])
-        x, y = x[left_over], y[left_over]
-        found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
-
-    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
-        if e - s <= FAN and i[s] == j[s]:  # a tree of one leaf: its pairs are bounded together with those of other such trees
-            x, y = np.triu_indices(e - s, 1)
-            left.append(x + s)
-            right.append(y + s)
-            continue
-        same = i[s] == j[s]
-        low = s + np.flatnonzero(same | (chunk[s:e] == i[s]))
-        base = points.folded(place[s:e], GROUPS.bit_length() - 1)
-        tree = CountVectorRTree(base[low - s], sizes[low])
-        asked = np.arange(s, e) if same else s + np.flatnonzero(chunk[s:e] == j[s])
-        q, hit = tree.join(base[asked - s], sizes[asked])
-        q, hit = asked[q], low[hit]
-        once = hit < q if same else np.ones(len(q), bool)
-        keep(hit[once], q[once])
-    if left:
-        keep(np.concatenate(left), np.concatenate(right))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        left = points.bounds(place[x], place[y]) >= needed(sizes[x], sizes[y])
+        return x[left], y[left]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = [], []
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(sig)], strict=True):
+            if e - s <= FAN and i[s] == j[s]:  # a tree of one leaf: its pairs are bounded together with those of other such trees
+                x, y = np.triu_indices(e - s, 1)
+                left.append(x + s)
+                right.append(y + s)
+                continue
+            same = i[s] == j[s]
+            low = s + np.flatnonzero(same | (chunk[s:e] == i[s]))
+            base = points.folded(place[s:e], GROUPS.bit_length() - 1)
+            tree = CountVectorRTree(base[low - s], sizes[low])
+            asked = np.arange(s, e) if same else s + np.flatnonzero(chunk[s:e] == j[s])
+            q, hit = tree.join(base[asked - s], sizes[asked])
+            q, hit = asked[q], low[hit]
+            once = hit < q if same else np.ones(len(q), bool)
+            yield keep(hit[once], q[once])
+        if left:
+            yield keep(np.concatenate(left), np.concatenate(right))
+
+    return part, found()
+
+
+def _sorted(vectors: pa.Table) -> tuple[np.ndarray, Points, np.ndarray]:
+    vectors = vectors.sort_by("doc")
+    return vectors.column("doc").to_numpy(), Points(vectors.column("vec").to_pylist()), vectors.column("n").to_numpy().astype(np.int64)
+
+
+def _across(part: pa.Table, vectors: pa.Table) -> pa.Table:
+    """Pairs from different components that the bound leaves, in each of the tiles at hand; ``vectors`` has each document once."""
+    part, pairs = _left_over(part, *_sorted(vectors))
+    doc = part.column("doc_id").to_numpy()
+    found = [np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1) for x, y in pairs]
+    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _met(part: pa.Table, vectors: pa.Table) -> pa.Table:
+    """The rows of tiles whose document has such a pair: rows grow with documents, not with pairs."""
+    ids, points, n = _sorted(vectors)
+    part, pairs = _left_over(part, ids, points, n)
+    place = np.searchsorted(ids, part.column("doc_id").to_numpy())
+    met = np.zeros(len(ids), bool)
+    for x, y in pairs:
+        met[place[x]] = met[place[y]] = True
+    return part.select(TILES).filter(pa.array(met[place]))
+
+
+TILES = ["sig", "lo", "band", "doc_id", "label", "chunk", "i", "j"]
+
+
+def linked_sets(s: np.ndarray, t: np.ndarray) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
+    return 100 * both >= PERCENT * (len(s) + len(t) - both) and both > 0
+
+
+def _joined(part: pa.Table, members: pa.Table) -> pa.Table:
+    """Links between different components in the tiles at hand, verified on whole sets: a forest, since pairs within what is joined already are passed over."""
+    members = members.sort_by("doc")
+    sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in members.column("members").combine_chunks()]
+    ids, n = members.column("doc").to_numpy(), np.array([len(s) for s in sets], np.int64)
+    part, pairs = _left_over(part, ids, Points([packed_point(s, FINE) for s in sets]), n)
+    doc, label = part.column("doc_id").to_numpy(), part.column("label").to_numpy()
+    low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")  # a repeated doc_id has a set for each row
+    _, at = np.unique(label, return_inverse=True)
+    forest, out = Forest(int(at.max(initial=-1)) + 1), []
+    for x, y in pairs:
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        for k in range(0, len(x), STEP):  # most pairs of a group go at once when it has been joined
+            tops = forest.tops()
+            p, q = x[k : k + STEP], y[k : k + STEP]
+            open_ = tops[at[p]] != tops[at[q]]
+            for u, v in zip(p[open_].tolist(), q[open_].tolist(), strict=True):
+                a, b = forest.find(int(at[u])), forest.find(int(at[v]))
+                if a != b and any(linked_sets(s, t) for s in sets[low[u] : high[u]] for t in sets[low[v] : high[v]]):
+                    forest.join(a, b)
+                    out.append((min(doc[u], doc[v]), max(doc[u], doc[v])))
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
 def bounded(pairs: DataFrame, points: DataFrame, grain: str) -> DataFrame:
@@ -429,21 +516,28 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     label = F.coalesce("label", "doc_id").alias("label")
     entry = staged(entry.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", label))
     tiles = staged(tiled(entry, points))
-    groups = int(tiles.count() // GROUP) + 1  # many small tiles to a call, each whole
-    heavy = tiles.groupBy("lo").agg(F.expr(f"int(ceil(count(1) / {GROUP}))").alias("parts")).filter("parts > 1")
-    cell = F.expr("pmod(xxhash64(sig, band, i, j), coalesce(parts, 1))")
-    dealt = tiles.join(heavy, "lo", "left").withColumn("g", F.pmod(F.xxhash64("lo", cell), F.lit(groups))).drop("lo", "parts")
-    asked = dealt.select(F.col("g").alias("call"), F.col("doc_id").alias("doc")).distinct()
-    vectors = asked.join(points.select(F.col("doc_id").alias("doc"), "n", F.col("fine").alias("vec")), "doc")
-    crossed = dealt.groupBy("g").cogroup(vectors.groupBy("call")).applyInArrow(_across, "a long, b long").distinct()
-    links = staged(links.union(verified(staged(crossed.join(star, ["a", "b"], "left_anti")), docs)))
+    vectors = points.select(F.col("doc_id").alias("doc"), "n", F.col("fine").alias("vec"))
+    near = staged(called(tiles, vectors, GROUP, _met, "sig long, lo long, band int, doc_id long, label long, chunk int, i int, j int"))
+    sets = members(docs, near.select("doc_id").distinct())
+    links = staged(links.union(called(near, sets.withColumnRenamed("doc_id", "doc"), SMALL, _joined, "a long, b long")))
     final = staged(components(links))
-    released(stars, star, met, points, entry, tiles, links, first, sure)
+    released(stars, star, met, points, entry, tiles, near, sets, links, first, sure)
     return rows.join(final.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
     )
 
 
+def called(tiles: DataFrame, values: DataFrame, rows: int, f, schema: str) -> DataFrame:
+    """``f`` of about ``rows`` rows of tiles at once (each tile whole, those of a smallest component together) and the values of their documents, each once."""
+    groups = int(tiles.count() // rows) + 1
+    heavy = staged(tiles.groupBy("lo").agg(F.expr(f"int(ceil(count(1) / {rows}))").alias("parts")).filter("parts > 1"))
+    few = heavy.count() <= BROADCAST_IDS  # at most one for ``rows`` rows
+    cell = F.expr("pmod(xxhash64(sig, band, i, j), coalesce(parts, 1))")
+    dealt = tiles.join(F.broadcast(heavy) if few else heavy, "lo", "left").withColumn("g", F.pmod(F.xxhash64("lo", cell), F.lit(groups))).drop("parts")
+    asked = dealt.select(F.col("g").alias("call"), F.col("doc_id").alias("doc")).distinct()
+    return dealt.groupBy("g").cogroup(asked.join(values, "doc").groupBy("call")).applyInArrow(f, schema)
+
+
 def tiled(entry: DataFrame, points: DataFrame) -> DataFrame:
     """(sig, lo, band, doc_id, label, chunk, i, j), lo a block's smallest component: blocks whose documents lie in several components, the large ones in bands of sizes and in tiles (i, j) of their chunks."""
     marks = [F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (1, 2)]

@@ -103,6 +103,12 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort of so few numbers is several times faster than numpy's hash table."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; the whole sequence of a shorter text is one; no words, none."""
     w, edges = words_of(texts)
@@ -114,7 +120,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     out = []
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if e - s >= k:
-            out.append(np.unique(rolled[s : e - k + 1]))
+            out.append(distinct(rolled[s : e - k + 1]))
         elif e > s:
             part = w[s:e]
             length = np.array([e - s], np.uint64) * _MUL[-1]

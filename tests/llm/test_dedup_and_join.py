@@ -165,3 +165,28 @@ def test_words_that_meet_under_powers_keep_apart():
     texts = ["a b", None, "c" * 50, "", "d"]
     got = [t for b, ts in blocks(pa.record_batch({"text": texts}).slice(1), size=10) for t in ts]
     assert got == [(t or "").encode() for t in texts[1:]]
+
+
+def test_a_group_of_near_copies_gives_a_forest_of_links_and_no_pairs():
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.where(rnd.random(300) < 0.08, rnd.integers(0, 1 << 63, 300).astype(np.uint64), base)) for _ in range(120)]
+    n = len(sets)
+    part = pa.table({"sig": [1] * n, "lo": [0] * n, "band": [0] * n, "doc_id": list(range(n)), "label": list(range(n)), "chunk": [0] * n, "i": [0] * n, "j": [0] * n})
+    vectors = pa.table({"doc": list(range(n)), "n": [len(x) for x in sets], "vec": pa.array([nj.packed_point(x) for x in sets], pa.binary())})
+    near = nj._met(part, vectors)
+    assert near.num_rows <= n < nj._across(part, vectors).num_rows // 10
+    got = nj._joined(near, pa.table({"doc": list(range(n)), "members": pa.array([x.tobytes() for x in sets], pa.binary())})).to_pylist()
+    top = list(range(n))
+    linked = [(a, b) for a in range(n) for b in range(a + 1, n) if nj.linked_sets(sets[a], sets[b])]
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in linked:
+        u, v = find(a), find(b)
+        top[max(u, v)] = min(u, v)
+    assert len(linked) > 10 * n and {(r["a"], r["b"]) for r in got} <= set(linked)
+    assert len(got) == n - len({find(k) for k in range(n)})
