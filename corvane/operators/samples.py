@@ -97,8 +97,15 @@ def mapped(pairs: DataFrame, key: str, left: str, right: str, position: str, las
 
 
 def zipped(a: Column, b: Column) -> Column:
-    """Array of (position, a, b), as long as the shorter one."""
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.struct(i.alias("position"), F.element_at(a, i).alias("a"), F.element_at(b, i).alias("b")))
+    """Array of (position, a, b), as long as the shorter one; each list is computed once, not once for each element."""
+    whole = F.transform(
+        F.array(F.struct(a.alias("a"), b.alias("b"))),
+        lambda z: F.transform(
+            F.slice(F.arrays_zip(z["a"].alias("a"), z["b"].alias("b")), F.lit(1), F.least(F.size(z["a"]), F.size(z["b"]))),
+            lambda x, i: F.struct((i + 1).alias("position"), x["a"].alias("a"), x["b"].alias("b")),
+        ),
+    )
+    return F.element_at(whole, 1)
 
 
 def separator_position(ids: Column, separator: int, pad: int = 0) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.risk import bound
 from ..operators import samples as sm
 from .code import sql_code, synth_code
 from .lines import CRITERIA, criteria
@@ -98,8 +99,8 @@ ALIGNED = """t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 
 
 def aligned(spark, sf_dir):
-    w = F.split("text", " ")
-    rows = table(spark, sf_dir, "documents").filter(F.size(w) > 1).select("doc_id", F.explode(sm.zipped(w, F.slice(w, F.lit(2), F.size(w)))).alias("p"))
+    pairs = bound(F.split("text", " "), lambda w: sm.zipped(w, F.slice(w, F.lit(2), F.size(w))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(pairs).alias("p"))
     return rows.select("doc_id", "p.position", "p.a", "p.b")
 
 

@@ -39,3 +39,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_aligned_words_are_cut_once_for_each_text(spark, tmp_path):
+    words = [str(k % 50) for k in range(4000)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, None), (4, "a b a c"), (5, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, want in (("aligned_first", "b"), ("aligned_last", "c")):
+        df = catalog.queries()[name](spark, str(tmp_path))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        got = {(r.doc_id, r.a): r.b for r in df.collect()}
+        assert got == {**{(1, str(k)): str((k + 1) % 50) for k in range(50)}, (4, "a"): want, (4, "b"): "a"}
