@@ -12,10 +12,13 @@ with n shingles is below its first n - ceil(0.75 n) + 1 in one global order (fre
 hash); any two linked documents share one of these. Subtrees (blocks) are what is shuffled:
 
 1. Frequent shingles, counted over all documents, a bounded list. It only sets the order.
-2. Prefixes meet in buckets of packed arrays. Within a bucket each prefix shingle links all its
-   documents to the smallest one: a star, linear in the group, however large. Star pairs that
-   the bound leaves are verified, and linked documents form first components.
-3. Blocks (prefix shingles) whose documents lie in several components are searched in full: a subtree
+2. Prefixes meet in buckets of packed arrays, with each shingle's place and its document's size. A linked
+   pair has nothing in common before the first shingle it shares, so there the places leave room
+   for the overlap it needs; pairs for which they don't (most of those that meet by chance) go no further.
+   Within a bucket each prefix shingle links its documents to the smallest one: a star, linear in the
+   group, however large. Star pairs that the bound leaves are verified, and linked documents form
+   first components. What has such room beside the star, is the shingle's block.
+3. Blocks whose documents lie in several components are searched in full: a subtree
    each, bulk-loaded by size, finds all pairs across components that the bound leaves. Only the documents
    of such pairs go on, with their whole sets: their pairs are verified in place, those of components that
    a link has joined meanwhile are passed over, and each call yields a forest of links, never its pairs.
@@ -23,10 +26,9 @@ hash); any two linked documents share one of these. Subtrees (blocks) are what i
    size by 4/3 at most, so each band meets itself and the next), and what is still larger in tiles.
    So a group of near copies costs rows in proportion to its documents, and no link between different texts is lost.
 
-Points have two grains. Star pairs are bounded by the coarse one first (a group for four shingles), the
-pairs it leaves by fine points (a group for each shingle) and by 16-bit forms of the sets, each sent for
-the survivors alone, before whole sets decide. Blocks with the same smallest component go to the same
-call, where a document's fine point comes once, however many of its blocks are there.
+A point has a group for each shingle, about. Star pairs are bounded by points and then by 16-bit forms of
+the sets, sent for the survivors alone, before whole sets decide. Blocks with the same smallest component
+go to the same call, where a document's point comes once, however many of its blocks are there.
 
 Documents with equal sets collapse per batch before all this, and by a fingerprint across batches.
 
@@ -46,14 +48,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import parallelism, released, staged
-from .words import blocks, shingle_sets
+from .words import blocks, shingle_runs, shingle_sets
 
 WORDS = 5
 PERCENT = 75
 GROUPS = 64  # of a point, at least
-COARSE, FINE = 4, 1  # shingles to a group
+FINE = 1  # shingles to a group
 FINEST = 13  # at most 2 ** 13 groups
 FAN = 16  # entries of a node
+PAIRED = 64  # documents of a prefix shingle whose pairs are looked at one by one
 FREQUENT = 200_000  # frequent shingles put last in the order, at most
 FREQUENT_FROM = 12  # documents
 BUCKET = 400_000  # prefix entries in a bucket, about
@@ -85,17 +88,44 @@ def packed_point(s: np.ndarray, per: int = FINE) -> bytes:
     return bytes([g]) + counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
 
 
+def packed_points(flat: np.ndarray, edges: np.ndarray, per: int = FINE) -> list[bytes]:
+    """:func:`packed_point` of each of the sets between ``edges``."""
+    n = np.diff(edges)
+    low = GROUPS.bit_length() - 1
+    grain = low + sum((n > per << g).astype(np.int64) for g in range(low, FINEST))
+    out: list[bytes] = [b""] * len(n)
+    for g in np.unique(grain).tolist():
+        mine = np.flatnonzero(grain == g)
+        inside = flat[np.repeat(grain == g, n)]
+        counts = np.bincount(np.repeat(np.arange(len(mine)) << g, n[mine]) + (inside & np.uint64((1 << g) - 1)).astype(np.int64), minlength=len(mine) << g).reshape(-1, 1 << g)
+        most, head = counts.max(1).tolist(), bytes([g])
+        narrow = counts.astype(np.uint8)
+        for k, d in enumerate(mine.tolist()):
+            out[d] = head + (narrow[k] if most[k] < 256 else counts[k].astype(np.uint32)).tobytes()
+    return out
+
+
 class Points:
     """Count vectors of several grains: groups are powers of two, so a finer one folds into any coarser."""
 
     def __init__(self, packed: list[bytes]):
         self.grain = np.array([p[0] for p in packed], np.int64)
-        self.raw = [np.frombuffer(p, np.uint8 if len(p) == 1 + (1 << p[0]) else np.uint32, offset=1) for p in packed]
+        self.narrow = np.array([len(p) == 1 + (1 << p[0]) for p in packed], bool)
+        self.raw = [memoryview(p)[1:] for p in packed]
 
     def folded(self, rows: np.ndarray, g: int) -> np.ndarray:
+        own, narrow = self.grain[rows], self.narrow[rows]
+
+        def read(mine: np.ndarray, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join([self.raw[r] for r in mine.tolist()]), kind).reshape(len(mine), -1, 1 << g)
+
+        if len(rows) and narrow.all() and (own == g).all():
+            return read(rows, np.uint8)[:, 0]
         out = np.empty((len(rows), 1 << g), np.uint32)
-        for k, r in enumerate(rows.tolist()):
-            out[k] = self.raw[r].reshape(-1, 1 << g).sum(0, dtype=np.uint32)
+        for h in np.unique(own).tolist():
+            for kind, mine in ((np.uint8, (own == h) & narrow), (np.uint32, (own == h) & ~narrow)):
+                if mine.any():
+                    out[mine] = read(rows[mine], kind).sum(1, dtype=np.uint32)
         return out
 
     def bounds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,12 +194,14 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen, sets, size = set(), [], 0
         for _, texts in blocks(b):
-            for s in shingle_sets(texts, WORDS):
-                key = (len(s), int(s.sum(dtype=np.uint64)))
-                if key not in seen:
-                    seen.add(key)
-                    sets.append(s)
-                    size += len(s)
+            flat, edges = shingle_runs(texts, WORDS)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat)])[edges]
+            new = []
+            for key in zip(np.diff(edges).tolist(), (total[1:] - total[:-1]).tolist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            sets.append(flat if all(new) else flat[np.repeat(new, np.diff(edges))])
+            size += len(sets[-1])
             if size > SHINGLES:
                 yield counted(sets)
                 sets, size = [], 0
@@ -183,68 +215,159 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def fingerprint(s: np.ndarray) -> bytes:
-    """128 bits of a set."""
-    return np.array([s.sum(dtype=np.uint64), ((s ^ (s >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)], np.uint64).tobytes() + len(s).to_bytes(4, "little")
+def fingerprints(flat: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """128 bits and the size of each of the sets between ``edges``."""
+    sums = np.zeros((len(flat) + 1, 2), np.uint64)
+    np.cumsum(flat, out=sums[1:, 0])
+    np.cumsum((flat ^ (flat >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), out=sums[1:, 1])
+    both = (sums[edges[1:]] - sums[edges[:-1]]).tobytes()
+    return [both[16 * k : 16 * k + 16] + n.to_bytes(4, "little") for k, n in enumerate(np.diff(edges).tolist())]
 
 
-def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """``s`` (sorted) in the global order: frequent shingles last."""
-    if not len(frequent):
-        return s
-    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    return np.concatenate([s[~late], s[late]])
+class Order:
+    """The global order: by hash, frequent shingles last."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = frequent
+        self.maybe = np.zeros(1 << 22, bool)  # by the low bits of a hash: few others are looked up
+        self.maybe[self._low(frequent)] = True
+
+    def _low(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.maybe) - 1)).astype(np.int64)
+
+    def late(self, h: np.ndarray) -> np.ndarray:
+        out = self.maybe[self._low(h)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.frequent[np.minimum(np.searchsorted(self.frequent, h[at]), len(self.frequent) - 1)] == h[at]
+        return out
 
+    def prefixes(self, flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix of each of the sorted sets between ``edges``, in the order, and the edges between prefixes."""
+        n = np.diff(edges)
+        size = np.where(n > 0, prefix_size(n), 0)
+        late = self.late(flat)
+        before = np.concatenate([[0], np.cumsum(late)])
+        doc = np.repeat(np.arange(len(n)), n)
+        behind = np.arange(len(flat)) - edges[doc]  # place by hash alone
+        lates = before[:-1] - before[edges[doc]]  # late ones before it
+        place = np.where(late, (n - np.diff(before[edges]))[doc] + lates, behind - lates)
+        taken = place < size[doc]
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(cuts[-1], np.uint64)
+        out[cuts[doc[taken]] + place[taken]] = flat[taken]
+        return out, cuts
 
-INDEX = "doc_id long, rep long, n int, fp binary, coarse binary, fine binary, sigs binary"
+
+INDEX = "doc_id long, rep long, n int, fp binary, fine binary, sigs binary"
 
 
 def _index(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(frequent)
         for whole in batches:
             seen: dict[bytes, int] = {}
             for b, texts in blocks(whole):
-                out: tuple[list, ...] = ([], [], [], [], [], [], [])
-                for doc_id, s in zip(b.column("doc_id").to_pylist(), shingle_sets(texts, WORDS), strict=True):
-                    fp, rep, coarse, fine, sigs = fingerprint(s), None, None, None, None
-                    if doc_id is not None and len(s):
-                        rep = seen.setdefault(fp, doc_id)
-                        if rep == doc_id:
-                            coarse, fine = packed_point(s, COARSE), packed_point(s, FINE)
-                            sigs = in_order(s, frequent)[: prefix_size(len(s))].tobytes()
-                    for column, value in zip(out, (doc_id, rep, len(s), fp, coarse, fine, sigs), strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                flat, edges = shingle_runs(texts, WORDS)
+                ids, sizes, fps = b.column("doc_id").to_pylist(), np.diff(edges), fingerprints(flat, edges)
+                reps = [seen.setdefault(fp, doc_id) if doc_id is not None and n else None for doc_id, n, fp in zip(ids, sizes.tolist(), fps, strict=True)]
+                own = np.array([rep is not None and rep == doc_id for rep, doc_id in zip(reps, ids, strict=True)], bool)
+                flat, edges = flat[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])])
+                prefix, cuts = order.prefixes(flat, edges)
+                fine, sigs = np.full(len(ids), None), np.full(len(ids), None)
+                fine[own] = packed_points(flat, edges)
+                sigs[own] = [prefix[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                columns = [pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (fps, fine, sigs))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
 
     return run
 
 
 def _deal(buckets: int, salts: int):
-    """Packs (shingle, doc_id) pairs into a row for each bucket and batch."""
+    """Packs (shingle, doc_id) pairs into a row for each bucket and batch; without salts, half a shingle and also sizes and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             blobs = b.column("sigs").to_pylist()
+            count = np.array([len(x) >> 3 for x in blobs])
             sig = np.frombuffer(b"".join(blobs), np.uint64)
-            doc = np.repeat(b.column("doc_id").to_numpy(), [len(x) >> 3 for x in blobs])
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            sig, doc, bucket = sig[order], doc[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            edges = np.concatenate([first, [len(bucket)]]).tolist()
+            doc = np.repeat(b.column("doc_id").to_numpy(), count)
             salt = int(doc[0]) % salts if salts > 1 else 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), pa.array(np.full(len(first), salt)), pa.array([sig[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]), pa.array([doc[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)])],
-                ["bucket", "salt", "sigs", "docs"],
-            )
+            if salts > 1:
+                packed = {"sigs": sig[order], "docs": doc[order]}
+            else:
+                place = np.arange(len(sig)) - np.repeat(np.cumsum(count) - count, count)
+                size = np.repeat(b.column("n").to_numpy().astype(np.uint32), count)
+                half = (sig >> np.uint64(32)).astype(np.uint32)  # shingles that meet in it share a block
+                packed = {"sigs": half[order], "docs": doc[order], "sizes": size[order], "places": np.minimum(place, 65535).astype(np.uint16)[order]}
+            bucket = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+            packs = [pa.array([x[s:e].tobytes() for s, e in cuts]) for x in packed.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), salt)), *packs], ["bucket", "salt", *packed])
 
     return run
 
 
 DEALT = "bucket long, salt long, sigs binary, docs binary"
+PLACED = DEALT + ", sizes binary, places binary"
+
+
+def roomy(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` may link if the first shingle they share is at these places: it and what comes later must do."""
+    return np.minimum(n - at, m - to) >= needed(n, m)
+
+
+def _meetings(part: pa.Table) -> pa.Table:
+    """In a bucket, by prefix shingle: the star's pairs (a, b) that have room, and as a block (sig, doc_id) what has room for another pair beside the star."""
+    sig, doc, size, place = (np.frombuffer(b"".join(part.column(c).to_pylist()), k) for c, k in (("sigs", np.uint32), ("docs", np.int64), ("sizes", np.uint32), ("places", np.uint16)))
+    order = np.argsort(sig)
+    again = sig[order][1:] == sig[order][:-1]
+    order = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]  # most shingles are in one document
+    order = order[np.lexsort((place[order], doc[order], sig[order]))]
+    sig, doc, size, place = sig[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
+    once = np.ones(len(sig), bool)
+    once[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(once)
+    if len(at) < len(sig):  # rows that repeat a doc_id, or halves that meet: the first place; any size where sizes differ
+        odd = np.maximum.reduceat(size, at) != np.minimum.reduceat(size, at)
+        sig, doc, size, place = sig[at], doc[at], size[at], place[at]
+    else:
+        odd = np.zeros(len(sig), bool)
+
+    def room(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return roomy(size[x], place[x], size[y], place[y]) | odd[x] | odd[y]
+
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(first)
+    many = np.diff(np.concatenate([at, [len(sig)]]))
+    centre, rest = np.repeat(at, many)[~first], np.flatnonzero(~first)
+    open_ = room(centre, rest)
+    pairs = np.stack([doc[centre[open_]], doc[rest[open_]]], 1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])[: len(pairs)]]
+
+    block = np.repeat(many > PAIRED, many) & ~first
+    for m in np.unique(many[(many > 2) & (many <= PAIRED)]).tolist():  # the centre's pairs are all in the star
+        x, y = np.triu_indices(m - 1, 1)
+        tops = at[many == m]
+        step = max(1, (1 << 18) // len(x))
+        for k in range(0, len(tops), step):
+            own = tops[k : k + step, None] + 1
+            p, q = (own + x).ravel(), (own + y).ravel()
+            open_ = room(p, q)
+            block[p[open_]] = block[q[open_]] = True
+    name = (part.column("bucket")[0].as_py() << 32) + sig[block].astype(np.int64)
+    found = [pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}), pa.table({"sig": name, "doc_id": doc[block]})]
+    return pa.concat_tables(found, promote_options="default")
+
+
+MET = "a long, b long, sig long, doc_id long"
 
 
 def _stars(carry: bool):
@@ -492,24 +615,26 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     # stars around the smallest document of each prefix shingle
     buckets, salts = max(parallelism(spark), int(size[0] // BUCKET) + 1), int(size[1] // LOCAL) + 1
-    dealt = nodes.select("doc_id", "sigs").mapInArrow(_deal(buckets, salts), DEALT)
-    stars = staged(dealt.groupBy("bucket", "salt").applyInArrow(_stars(salts > 1), STARS))
-    if salts > 1:
+    if salts == 1:
+        dealt = nodes.select("doc_id", "n", "sigs").mapInArrow(_deal(buckets, salts), PLACED)
+        stars = staged(dealt.groupBy("bucket").applyInArrow(_meetings, MET))
+    else:  # a shingle's documents are dealt over several salts, where their places can't be compared
+        dealt = nodes.select("doc_id", "sigs").mapInArrow(_deal(buckets, salts), DEALT)
+        stars = staged(dealt.groupBy("bucket", "salt").applyInArrow(_stars(True), STARS))
         tops = stars.filter("sigs is not null").select("bucket", F.lit(0).cast("long").alias("salt"), "sigs", "docs")
         stars = staged(stars.unionByName(tops.groupBy("bucket").applyInArrow(_stars(False), STARS)))
     star = staged(stars.filter("a is not null").select("a", "b").distinct())
-    met = staged(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    points = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "coarse", "fine"))
-    if salts == 1:
-        entry = stars.filter("sig is not null").select("sig", "doc_id")
-    else:  # a shingle's documents were dealt over several salts
+    entry = stars.filter("sig is not null").select("sig", "doc_id")
+    met = star.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    met = staged((met.union(entry.select("doc_id")) if salts == 1 else met).distinct())
+    if salts > 1:
         entry = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct())
+    points = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "fine"))
     released(index)
 
-    few = staged(bounded(star.join(sure, ["a", "b"], "left_anti"), points, "coarse"))
-    close = staged(bounded(few, points, "fine"))
+    close = staged(bounded(star.join(sure, ["a", "b"], "left_anti"), points, "fine"))
     links = staged(sure.union(verified(close, docs)))
-    released(few, close)
+    released(close)
     first = staged(components(links))
 
     # blocks that hold several components are searched in full

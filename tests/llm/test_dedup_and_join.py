@@ -190,3 +190,38 @@ def test_a_group_of_near_copies_gives_a_forest_of_links_and_no_pairs():
         top[max(u, v)] = min(u, v)
     assert len(linked) > 10 * n and {(r["a"], r["b"]) for r in got} <= set(linked)
     assert len(got) == n - len({find(k) for k in range(n)})
+
+
+def test_a_bucket_yields_every_pair_that_may_link_and_none_that_meets_by_chance():
+    rnd = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        base = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 120))).astype(np.uint64))
+        sets += [np.unique(np.where(rnd.random(len(base)) < p, rnd.integers(0, 1 << 63, len(base)).astype(np.uint64), base)) for p in (0, 0.02, 0.05, 0.1)]
+    one = np.uint64(1 << 62)  # the last place of the prefix of each of 30 unrelated sets
+    sets += [np.sort(np.concatenate([rnd.integers(0, 1 << 62, 25), [1 << 62], rnd.integers((1 << 62) + 1, 1 << 63, 74)]).astype(np.uint64)) for _ in range(30)]
+    flat, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    prefix, cuts = nj.Order(np.zeros(0, np.uint64)).prefixes(flat, edges)
+    assert all((prefix[cuts[k] : cuts[k + 1]] == s[: nj.prefix_size(len(s))]).all() for k, s in enumerate(sets)) and one in prefix[cuts[-2] :]
+    rows = pa.record_batch({"doc_id": list(range(len(sets))), "n": [len(s) for s in sets], "sigs": [prefix[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]})
+    got = nj._meetings(pa.Table.from_batches(list(nj._deal(1, 1)(iter([rows]))))).to_pylist()
+    pairs, held = {(r["a"], r["b"]) for r in got if r["a"] is not None}, defaultdict(set)
+    for r in got:
+        if r["sig"] is not None:
+            held[r["sig"]].add(r["doc_id"])
+    near = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if nj.linked_sets(sets[a], sets[b])]
+    assert len(near) > 100 and all(p in pairs or any({*p} <= v for v in held.values()) for p in near)
+    assert max(max(p) for p in pairs) < 160 > max(max(v) for v in held.values())
+
+
+def test_words_of_any_length_are_told_apart_and_sets_are_those_of_each_text():
+    from corvane.llm.words import shingle_runs, shingle_sets, words_of
+
+    words = [("aB\u00e9-" * 60)[:n] + c for n in range(0, 150, 3) for c in "xyz"]
+    h, edges = words_of([" ".join(words).encode(), "\t\n".join(words).upper().lower().encode(), b"\v", (" ".join(words) * 3000).encode()])
+    assert len(set(h[: len(words)].tolist())) == len({lowered(w) for w in words}) and (h[edges[1] : edges[2]] == h[: len(words)]).all()
+    assert edges[3] == edges[2] and (h[edges[3] :][: len(words) - 1] == h[: len(words) - 1]).all()
+    texts = [b"a b c d e f a b c d e f g", b"", b"c d e f a", b"x", b" ", b"E f A b c D"]
+    flat, cuts = shingle_runs(texts, 5)
+    assert [flat[s:e].tolist() for s, e in zip(cuts[:-1], cuts[1:], strict=True)] == [s.tolist() for s in shingle_sets(texts, 5)]
+    assert np.diff(cuts).tolist() == [7, 0, 1, 1, 0, 2] and {*flat[cuts[2] : cuts[3]], *flat[cuts[5] :]} <= {*flat[: cuts[1]]}
