@@ -87,8 +87,11 @@ class CentroidModel:
     bound: np.ndarray  # of each centroid's language
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = (np.log1p(counts) * self.idf).astype(np.float32)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        out = np.empty(counts.shape, np.float32)
+        for k in range(0, len(counts), 256):  # few rows in double precision at a time
+            v = (np.log1p(counts[k : k + 256]) * self.idf).astype(np.float32)
+            out[k : k + 256] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return out
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest centroid, and its cosine."""
@@ -116,12 +119,12 @@ LOW = 0.01  # share of a language's training texts that may lie below what its b
 
 
 def fit_centroids(counts: np.ndarray, langs: list[str], per_language: int = 4, slack: float = 0.5) -> CentroidModel:
-    df = (counts > 0).sum(0)
+    df = np.count_nonzero(counts > 0, 0)
     idf = np.log((1 + len(counts)) / (1 + df)) + 1
     model = CentroidModel([], np.zeros((0, DIM), np.float32), idf, np.zeros(0))
-    x, names = model.vectors(counts), np.array(langs)
-    for lang in sorted(set(langs)):
-        mine = x[names == lang]
+    names = np.array(langs)
+    for lang in sorted(set(langs)):  # the driver holds the vectors of one language at a time
+        mine = model.vectors(counts[names == lang])
         c = _spherical_kmeans(mine, per_language)
         model.langs += [lang] * len(c)
         model.centroids = np.vstack([model.centroids, c.astype(np.float32)])

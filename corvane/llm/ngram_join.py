@@ -22,6 +22,8 @@ hash); any two linked documents share one of these. Subtrees (blocks) are what i
    each, bulk-loaded by size, finds all pairs across components that the bound leaves. Only the documents
    of such pairs go on, with their whole sets: their pairs are verified in place, those of components that
    a link has joined meanwhile are passed over, and each call yields a forest of links, never its pairs.
+   Near copies share most of their prefixes, so a group of them meets in block after block: blocks with
+   the same smallest component become one of all their documents where that has no more pairs.
    A block of more than TILE documents is parted by size first (sets that link differ in
    size by 4/3 at most, so each band meets itself and the next), and what is still larger in tiles.
    So a group of near copies costs rows in proportion to its documents, and no link between different texts is lost.
@@ -212,7 +214,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that many different texts share; those met twice at once are summed over all batches."""
     rows = docs.select("text").mapInArrow(_frequent, "h long, n long")
     top = rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def fingerprints(flat: np.ndarray, edges: np.ndarray) -> list[bytes]:
@@ -659,6 +661,7 @@ def called(tiles: DataFrame, values: DataFrame, rows: int, f, schema: str) -> Da
     few = heavy.count() <= BROADCAST_IDS  # at most one for ``rows`` rows
     cell = F.expr("pmod(xxhash64(sig, band, i, j), coalesce(parts, 1))")
     dealt = tiles.join(F.broadcast(heavy) if few else heavy, "lo", "left").withColumn("g", F.pmod(F.xxhash64("lo", cell), F.lit(groups))).drop("parts")
+    dealt = staged(dealt)  # read twice
     asked = dealt.select(F.col("g").alias("call"), F.col("doc_id").alias("doc")).distinct()
     return dealt.groupBy("g").cogroup(asked.join(values, "doc").groupBy("call")).applyInArrow(f, schema)
 
@@ -669,8 +672,9 @@ def tiled(entry: DataFrame, points: DataFrame) -> DataFrame:
     mixed = entry.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), *marks).filter("lo <> hi")
     # of blocks with the same documents one is searched
     mixed = mixed.groupBy("lo", "hi", "m", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "lo", "m")
-    large = staged(mixed.filter(F.col("m") > TILE).select("sig", "lo"))
-    found = entry.join(mixed.filter(F.col("m") <= TILE).select("sig", "lo"), "sig").select("sig", "lo", F.lit(0).alias("band"), "doc_id", "label", F.lit(0).alias("chunk"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    mixed = staged(mixed)
+    large = mixed.filter(F.col("m") > TILE).select("sig", "lo")
+    found = merged(entry, mixed.filter(F.col("m") <= TILE)).select("sig", "lo", "band", "doc_id", "label", F.lit(0).alias("chunk"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     if large.isEmpty():
         return found
     # sets that link differ in size by 4/3 at most, so they lie in the same band or in neighbouring ones
@@ -683,6 +687,20 @@ def tiled(entry: DataFrame, points: DataFrame) -> DataFrame:
     return found.unionByName(inside.select("sig", "lo", "band", "doc_id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")))
 
 
+def merged(entry: DataFrame, small: DataFrame) -> DataFrame:
+    """(sig, lo, band, doc_id, label) of the blocks ``small`` (sig, lo, m). Those with the same smallest component become one block of
+    their documents (its band is -1) where that has no more pairs than they have together, or is a tree of one leaf."""
+    rows = staged(entry.join(small.select("sig", "lo"), "sig").select("sig", "lo", "doc_id", "label"))
+    once = staged(rows.groupBy("lo", "doc_id").agg(F.min("label").alias("label")))
+    cost = small.groupBy("lo").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+    whole = once.groupBy("lo").agg(F.count(F.lit(1)).alias("u")).join(cost, "lo").filter(f"u <= {FAN} or u <= {TILE} and double(u) * u <= cost")
+    whole = staged(whole.select("lo"))
+    apart = rows.join(whole, "lo", "left_anti").select("sig", "lo", F.lit(0).alias("band"), "doc_id", "label")
+    out = staged(apart.unionByName(once.join(whole, "lo").select(F.col("lo").alias("sig"), "lo", F.lit(-1).alias("band"), "doc_id", "label")))
+    released(rows, once, whole)
+    return out
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         blobs = b.column("sigs").to_pylist()

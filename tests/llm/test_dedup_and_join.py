@@ -154,6 +154,24 @@ def test_large_blocks_are_searched_in_bands_and_tiles(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_a_group_that_meets_in_many_blocks_has_a_row_for_each_document(spark):
+    rnd = random.Random(7)
+    blocks = {100 + s: [0, *(d for d in range(1, 25) if rnd.random() < 0.9)] for s in range(60)}  # a group, each block without some of it
+    blocks |= {200 + s: [1000, 1001 + s] for s in range(40)}  # pairs that have one document in common
+    blocks |= {300: list(range(2000, 2030)), 301: [2000, *range(2030, 2040)]}  # as one they'd have more pairs
+    rows = [(s, d, d) for s, docs in blocks.items() for d in docs]
+    entry = spark.createDataFrame(rows, "sig long, doc_id long, label long")
+    points = spark.createDataFrame([(d, 10) for d in {d for _, d, _ in rows}], "doc_id long, n int")
+    got = nj.tiled(entry, points).collect()
+    tiles = defaultdict(set)
+    for r in got:
+        assert r.label == r.doc_id and r.lo == r.doc_id // 1000 * 1000 and r.doc_id not in tiles[r.sig, r.band, r.i, r.j]
+        tiles[r.sig, r.band, r.i, r.j].add(r.doc_id)
+    assert all(any({*docs} <= t for t in tiles.values()) for docs in blocks.values())
+    assert sum(r.doc_id < 1000 for r in got) == 25
+    assert sorted(len(t) for t in tiles.values() if min(t) >= 1000) == [2] * 40 + [11, 30]
+
+
 def test_words_that_meet_under_powers_keep_apart():
     from corvane.llm.words import blocks, words_of
 
