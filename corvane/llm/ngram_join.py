@@ -28,9 +28,10 @@ hash); any two linked documents share one of these. Subtrees (blocks) are what i
    size by 4/3 at most, so each band meets itself and the next), and what is still larger in tiles.
    So a group of near copies costs rows in proportion to its documents, and no link between different texts is lost.
 
-A point has a group for each shingle, about. Star pairs are bounded by points and then by 16-bit forms of
-the sets, sent for the survivors alone, before whole sets decide. Blocks with the same smallest component
-go to the same call, where a document's point comes once, however many of its blocks are there.
+A point made of a set at hand has a group for each shingle, about; one that is stored or sent, a group for two and half
+a byte for each. Prefixes are made anew for the buckets and not stored, since they would be most of what is. Star pairs
+are bounded by points and then by 16-bit forms of the sets, sent for the survivors alone, before whole sets decide. Blocks
+with the same smallest component go to the same call, where a document's point comes once, however many of its blocks are there.
 
 Documents with equal sets collapse per batch before all this, and by a fingerprint across batches.
 
@@ -56,19 +57,20 @@ WORDS = 5
 PERCENT = 75
 GROUPS = 64  # of a point, at least
 FINE = 1  # shingles to a group
+SENT = 2  # the same in points that are stored and sent, with half a byte to a group if no count is larger than 15
 FINEST = 13  # at most 2 ** 13 groups
 FAN = 16  # entries of a node
 PAIRED = 64  # documents of a prefix shingle whose pairs are looked at one by one
 FREQUENT = 200_000  # frequent shingles put last in the order, at most
 FREQUENT_FROM = 12  # documents
-BUCKET = 400_000  # prefix entries in a bucket, about
+BUCKET = 800_000  # prefix entries in a bucket, about
 LOCAL = 4_000_000  # documents to a salt: bounds what one prefix shingle brings into a task
 TILE = 2048  # documents of a block that are compared at once
 GROUP = 20_000  # rows of tiles that a call gets, about
 SMALL = 5_000  # the same where whole sets come along
 STEP = 4096  # pairs between looks at what has been joined
 BROADCAST_IDS = 500_000
-SHINGLES = 1 << 21  # counted at once
+SHINGLES = 1 << 21  # counted or dealt at once
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -91,7 +93,7 @@ def packed_point(s: np.ndarray, per: int = FINE) -> bytes:
 
 
 def packed_points(flat: np.ndarray, edges: np.ndarray, per: int = FINE) -> list[bytes]:
-    """:func:`packed_point` of each of the sets between ``edges``."""
+    """Points like :func:`packed_point` of each of the sets between ``edges``; two counts to a byte where all are below 16."""
     n = np.diff(edges)
     low = GROUPS.bit_length() - 1
     grain = low + sum((n > per << g).astype(np.int64) for g in range(low, FINEST))
@@ -102,8 +104,9 @@ def packed_points(flat: np.ndarray, edges: np.ndarray, per: int = FINE) -> list[
         counts = np.bincount(np.repeat(np.arange(len(mine)) << g, n[mine]) + (inside & np.uint64((1 << g) - 1)).astype(np.int64), minlength=len(mine) << g).reshape(-1, 1 << g)
         most, head = counts.max(1).tolist(), bytes([g])
         narrow = counts.astype(np.uint8)
+        halves = narrow[:, ::2] | narrow[:, 1::2] << 4
         for k, d in enumerate(mine.tolist()):
-            out[d] = head + (narrow[k] if most[k] < 256 else counts[k].astype(np.uint32)).tobytes()
+            out[d] = head + (halves[k] if most[k] < 16 else narrow[k] if most[k] < 256 else counts[k].astype(np.uint32)).tobytes()
     return out
 
 
@@ -112,22 +115,26 @@ class Points:
 
     def __init__(self, packed: list[bytes]):
         self.grain = np.array([p[0] for p in packed], np.int64)
-        self.narrow = np.array([len(p) == 1 + (1 << p[0]) for p in packed], bool)
+        self.bits = np.array([(len(p) - 1 << 3) >> p[0] for p in packed], np.int64)  # of a count
         self.raw = [memoryview(p)[1:] for p in packed]
 
     def folded(self, rows: np.ndarray, g: int) -> np.ndarray:
-        own, narrow = self.grain[rows], self.narrow[rows]
+        own, bits = self.grain[rows], self.bits[rows]
 
-        def read(mine: np.ndarray, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join([self.raw[r] for r in mine.tolist()]), kind).reshape(len(mine), -1, 1 << g)
+        def read(mine: np.ndarray, width: int) -> np.ndarray:
+            flat = np.frombuffer(b"".join([self.raw[r] for r in mine.tolist()]), np.uint32 if width == 32 else np.uint8)
+            if width == 4:
+                flat = np.stack([flat & 15, flat >> 4], 1)
+            return flat.reshape(len(mine), -1, 1 << g)
 
-        if len(rows) and narrow.all() and (own == g).all():
-            return read(rows, np.uint8)[:, 0]
+        if len(rows) and (bits == bits[0]).all() and bits[0] < 32 and (own == g).all():
+            return read(rows, bits[0])[:, 0]
         out = np.empty((len(rows), 1 << g), np.uint32)
         for h in np.unique(own).tolist():
-            for kind, mine in ((np.uint8, (own == h) & narrow), (np.uint32, (own == h) & ~narrow)):
+            for width in (4, 8, 32):
+                mine = (own == h) & (bits == width)
                 if mine.any():
-                    out[mine] = read(rows[mine], kind).sum(1, dtype=np.uint32)
+                    out[mine] = read(rows[mine], width).sum(1, dtype=np.uint32)
         return out
 
     def bounds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -261,32 +268,80 @@ class Order:
         return out, cuts
 
 
-INDEX = "doc_id long, rep long, n int, fp binary, fine binary, sigs binary"
+INDEX = "doc_id long, rep long, n int, fp binary, fine binary"
 
 
-def _index(frequent: np.ndarray):
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Ids of runs of rows, the first of each batch with the same set, and the sets."""
+    for whole in batches:
+        seen: dict[bytes, int] = {}
+        for b, texts in blocks(whole):
+            flat, edges = shingle_runs(texts, WORDS)
+            ids, sizes, fps = b.column("doc_id").to_pylist(), np.diff(edges), fingerprints(flat, edges)
+            reps = [seen.setdefault(fp, doc_id) if doc_id is not None and n else None for doc_id, n, fp in zip(ids, sizes.tolist(), fps, strict=True)]
+            yield ids, reps, fps, flat, edges
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, reps, fps, flat, edges in _told(batches):
+        fine = np.full(len(ids), None)
+        some = np.array([rep is not None for rep in reps], bool)
+        sizes = np.diff(edges)
+        fine[some] = packed_points(flat[np.repeat(some, sizes)], np.concatenate([[0], np.cumsum(sizes[some])]), SENT)
+        columns = [pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (fps, fine))]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
+
+
+def _prefixes(frequent: np.ndarray):
+    """(doc_id, n, sigs): the prefix of the first document of each batch with the same set, about ``SHINGLES`` of them at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(frequent)
-        for whole in batches:
-            seen: dict[bytes, int] = {}
-            for b, texts in blocks(whole):
-                flat, edges = shingle_runs(texts, WORDS)
-                ids, sizes, fps = b.column("doc_id").to_pylist(), np.diff(edges), fingerprints(flat, edges)
-                reps = [seen.setdefault(fp, doc_id) if doc_id is not None and n else None for doc_id, n, fp in zip(ids, sizes.tolist(), fps, strict=True)]
-                own = np.array([rep is not None and rep == doc_id for rep, doc_id in zip(reps, ids, strict=True)], bool)
-                flat, edges = flat[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])])
-                prefix, cuts = order.prefixes(flat, edges)
-                fine, sigs = np.full(len(ids), None), np.full(len(ids), None)
-                fine[own] = packed_points(flat, edges)
-                sigs[own] = [prefix[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                columns = [pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (fps, fine, sigs))]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
+        order, docs, ns, sigs, held = Order(frequent), [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "n", "sigs"])
+
+        for ids, reps, _, flat, edges in _told(batches):
+            sizes = np.diff(edges)
+            own = np.array([rep is not None and rep == doc_id for rep, doc_id in zip(reps, ids, strict=True)], bool)
+            prefix, cuts = order.prefixes(flat[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]))
+            docs += [doc_id for doc_id, mine in zip(ids, own.tolist(), strict=True) if mine]
+            ns += sizes[own].tolist()
+            sigs += [prefix[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            held += len(prefix)
+            if held > SHINGLES:
+                yield batch()
+                docs, ns, sigs, held = [], [], [], 0
+        yield batch()
 
     return run
 
 
+PREFIXES = "doc_id long, n int, sigs binary"
+
+
+def narrowed(x: np.ndarray) -> bytes:
+    """Integers as differences from the least of them, in 1, 2, 4 or 8 bytes each."""
+    x = x.astype(np.int64)
+    least = x.min()
+    apart = x.view(np.uint64) - least.view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if int(apart.max()) < 1 << 8 * w)
+    return bytes([width]) + least.tobytes() + apart.astype(f"u{width}").tobytes()
+
+
+def widened(blobs: list[bytes]) -> np.ndarray:
+    """The integers of such blobs, one after the other."""
+    return np.concatenate([(np.frombuffer(b, f"u{b[0]}", offset=9).astype(np.uint64) + np.frombuffer(b, np.uint64, 1, 1)).view(np.int64) for b in blobs])
+
+
+def grain_of_places(n: np.ndarray) -> np.ndarray:
+    """So many low bits of a place in the prefix of a set of size ``n`` are dropped that a byte holds it."""
+    return np.maximum(np.ceil(np.log2(np.maximum(prefix_size(n), 1))).astype(np.int64) - 8, 0)
+
+
 def _deal(buckets: int, salts: int):
-    """Packs (shingle, doc_id) pairs into a row for each bucket and batch; without salts, half a shingle and also sizes and places."""
+    """Packs (shingle, doc_id) pairs into a row for each bucket and batch; without salts, half a shingle and its place in a byte, and
+    once for all shingles of a document there its id, its size and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,26 +352,39 @@ def _deal(buckets: int, salts: int):
             sig = np.frombuffer(b"".join(blobs), np.uint64)
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            doc = np.repeat(b.column("doc_id").to_numpy(), count)
-            salt = int(doc[0]) % salts if salts > 1 else 0
+            row = np.repeat(np.arange(len(count)), count)
+            ids = b.column("doc_id").to_numpy()
+            salt = int(ids[0]) % salts if salts > 1 else 0
+            named = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(named)], strict=True))
+            head = [pa.array(named[first]), pa.array(np.full(len(first), salt))]
             if salts > 1:
-                packed = {"sigs": sig[order], "docs": doc[order]}
-            else:
-                place = np.arange(len(sig)) - np.repeat(np.cumsum(count) - count, count)
-                size = np.repeat(b.column("n").to_numpy().astype(np.uint32), count)
-                half = (sig >> np.uint64(32)).astype(np.uint32)  # shingles that meet in it share a block
-                packed = {"sigs": half[order], "docs": doc[order], "sizes": size[order], "places": np.minimum(place, 65535).astype(np.uint16)[order]}
-            bucket = bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+                packed = {"sigs": sig[order], "docs": ids[row][order]}
+                packs = [pa.array([x[s:e].tobytes() for s, e in cuts]) for x in packed.values()]
+                yield pa.RecordBatch.from_arrays([*head, *packs], ["bucket", "salt", *packed])
+                continue
+            size = b.column("n").to_numpy().astype(np.int64)
+            place = (np.arange(len(sig)) - np.repeat(np.cumsum(count) - count, count)) >> grain_of_places(size)[row]
+            packed = {"sigs": (sig >> np.uint64(32)).astype(np.uint32)[order], "places": place.astype(np.uint8)[order]}  # shingles that meet in a half share a block
+            row = row[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (named[1:] != named[:-1])]))
+            runs = {"docs": ids[row[new]], "sizes": size[row[new]], "runs": np.diff(np.concatenate([new, [len(row)]]))}
+            inner = np.searchsorted(new, [*first, len(row)]).tolist()
             packs = [pa.array([x[s:e].tobytes() for s, e in cuts]) for x in packed.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), salt)), *packs], ["bucket", "salt", *packed])
+            packs += [pa.array([narrowed(x[s:e]) for s, e in zip(inner[:-1], inner[1:], strict=True)]) for x in runs.values()]
+            yield pa.RecordBatch.from_arrays([*head, *packs], ["bucket", "salt", *packed, *runs])
 
     return run
 
 
+def _dealt(frequent: np.ndarray, buckets: int, salts: int):
+    """Packs of the documents' prefixes, in one pass over the texts."""
+    return lambda batches: _deal(buckets, salts)(_prefixes(frequent)(batches))
+
+
 DEALT = "bucket long, salt long, sigs binary, docs binary"
-PLACED = DEALT + ", sizes binary, places binary"
+PLACED = "bucket long, salt long, sigs binary, places binary, docs binary, sizes binary, runs binary"
 
 
 def roomy(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -326,12 +394,15 @@ def roomy(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.nd
 
 def _meetings(part: pa.Table) -> pa.Table:
     """In a bucket, by prefix shingle: the star's pairs (a, b) that have room, and as a block (sig, doc_id) what has room for another pair beside the star."""
-    sig, doc, size, place = (np.frombuffer(b"".join(part.column(c).to_pylist()), k) for c, k in (("sigs", np.uint32), ("docs", np.int64), ("sizes", np.uint32), ("places", np.uint16)))
+    sig, place = (np.frombuffer(b"".join(part.column(c).to_pylist()), k) for c, k in (("sigs", np.uint32), ("places", np.uint8)))
+    doc, size, runs = (widened(part.column(c).to_pylist()) for c in ("docs", "sizes", "runs"))
+    grain, run = grain_of_places(size), np.repeat(np.arange(len(runs), dtype=np.int32), runs)
     order = np.argsort(sig)
     again = sig[order][1:] == sig[order][:-1]
     order = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]  # most shingles are in one document
-    order = order[np.lexsort((place[order], doc[order], sig[order]))]
-    sig, doc, size, place = sig[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
+    order = order[np.lexsort((place[order], doc[run[order]], sig[order]))]
+    sig, place, run = sig[order], place[order], run[order]
+    doc, size, place = doc[run], size[run], place.astype(np.int64) << grain[run]  # the first place that it may be
     once = np.ones(len(sig), bool)
     once[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(once)
@@ -491,19 +562,24 @@ class Forest:
 
 
 def _left_over(part: pa.Table, ids: np.ndarray, points: Points, n: np.ndarray) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """The rows of tiles at hand in order, and their pairs from different components that the bound leaves; ``ids`` (sorted), ``points`` and sizes ``n`` have each document once."""
+    """The rows of tiles at hand in order, and their pairs from different components that the bound leaves; ``ids`` (sorted), ``points`` and sizes ``n`` have a row for each text of a document."""
     part = part.sort_by([(c, "ascending") for c in ("sig", "band", "i", "j", "chunk")])
     sig, band, i, j, doc, label, chunk = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "band", "i", "j", "doc_id", "label", "chunk"))
-    place = np.searchsorted(ids, doc)
-    sizes = n[place]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+    more = np.diff(np.concatenate([at, [len(ids)]]))
+    odd = more > 1  # of a repeated doc_id each text counts: its pairs go on
+    place = np.searchsorted(ids[at], doc)
+    sizes = (np.minimum.reduceat(n, at) if len(at) else n)[place]
     first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
 
     def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = (label[x] != label[y]) & (np.minimum(sizes[x], sizes[y]) >= needed(sizes[x], sizes[y]))
+        sure = odd[place[x]] | odd[place[y]]
+        apart = (label[x] != label[y]) & (sure | (np.minimum(sizes[x], sizes[y]) >= needed(sizes[x], sizes[y])))
         x, y = x[apart], y[apart]
         _, once = np.unique(np.minimum(place[x], place[y]) * len(ids) + np.maximum(place[x], place[y]), return_index=True)
         x, y = x[once], y[once]  # documents meet in many blocks
-        left = points.bounds(place[x], place[y]) >= needed(sizes[x], sizes[y])
+        sure = odd[place[x]] | odd[place[y]]
+        left = sure | (points.bounds(at[place[x]], at[place[y]]) >= needed(sizes[x], sizes[y]))
         return x[left], y[left]
 
     def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -516,7 +592,12 @@ def _left_over(part: pa.Table, ids: np.ndarray, points: Points, n: np.ndarray) -
                 continue
             same = i[s] == j[s]
             low = s + np.flatnonzero(same | (chunk[s:e] == i[s]))
-            base = points.folded(place[s:e], GROUPS.bit_length() - 1)
+            base = points.folded(at[place[s:e]], GROUPS.bit_length() - 1)
+            if odd[place[s:e]].any():
+                base = base.astype(np.uint32)
+            for k in np.flatnonzero(odd[place[s:e]]).tolist():
+                d = place[s + k]
+                base[k] = points.folded(np.arange(at[d], at[d] + more[d]), GROUPS.bit_length() - 1).max(0)
             tree = CountVectorRTree(base[low - s], sizes[low])
             asked = np.arange(s, e) if same else s + np.flatnonzero(chunk[s:e] == j[s])
             q, hit = tree.join(base[asked - s], sizes[asked])
@@ -603,9 +684,10 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = staged(docs.mapInArrow(_index(frequent_shingles(docs)), INDEX))
-    nodes = index.filter("sigs is not null")
-    size = nodes.agg(F.sum(F.length("sigs") / 8), F.count(F.lit(1))).first()
+    frequent = frequent_shingles(docs)
+    index = staged(docs.mapInArrow(_index, INDEX))
+    nodes = index.filter("rep = doc_id")
+    size = nodes.agg(F.expr(f"sum(n - ({PERCENT} * n + 99) div 100 + 1)"), F.count(F.lit(1))).first()
     rows = staged(index.select("doc_id", F.col("n").cast("long").alias("n_shingles")))
     if not size[1]:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -618,10 +700,10 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # stars around the smallest document of each prefix shingle
     buckets, salts = max(parallelism(spark), int(size[0] // BUCKET) + 1), int(size[1] // LOCAL) + 1
     if salts == 1:
-        dealt = nodes.select("doc_id", "n", "sigs").mapInArrow(_deal(buckets, salts), PLACED)
+        dealt = docs.mapInArrow(_dealt(frequent, buckets, salts), PLACED)
         stars = staged(dealt.groupBy("bucket").applyInArrow(_meetings, MET))
     else:  # a shingle's documents are dealt over several salts, where their places can't be compared
-        dealt = nodes.select("doc_id", "sigs").mapInArrow(_deal(buckets, salts), DEALT)
+        dealt = docs.mapInArrow(_dealt(frequent, buckets, salts), DEALT)
         stars = staged(dealt.groupBy("bucket", "salt").applyInArrow(_stars(True), STARS))
         tops = stars.filter("sigs is not null").select("bucket", F.lit(0).cast("long").alias("salt"), "sigs", "docs")
         stars = staged(stars.unionByName(tops.groupBy("bucket").applyInArrow(_stars(False), STARS)))
@@ -630,8 +712,10 @@ def ngram_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     met = star.select(F.explode(F.array("a", "b")).alias("doc_id"))
     met = staged((met.union(entry.select("doc_id")) if salts == 1 else met).distinct())
     if salts > 1:
-        entry = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct())
-    points = staged(nodes.join(met, "doc_id", "left_semi").select("doc_id", "n", "fine"))
+        own = docs.mapInArrow(_prefixes(frequent), PREFIXES)
+        entry = staged(own.join(met, "doc_id", "left_semi").select("doc_id", "sigs").mapInArrow(_entries, "sig long, doc_id long").distinct())
+    # all that have a set, not the first of a batch alone: batches may be other ones when docs are read again
+    points = staged(index.filter("fine is not null").join(met, "doc_id", "left_semi").select("doc_id", "n", "fine"))
     released(index)
 
     close = staged(bounded(star.join(sure, ["a", "b"], "left_anti"), points, "fine"))

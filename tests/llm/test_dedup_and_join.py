@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,79 @@ def test_a_bucket_yields_every_pair_that_may_link_and_none_that_meets_by_chance(
     assert max(max(p) for p in pairs) < 160 > max(max(v) for v in held.values())
 
 
+def test_a_bucket_holds_few_bytes_for_a_shingle_and_loses_no_pair_of_long_sets():
+    rnd = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1000, 3000))).astype(np.uint64))  # prefixes of more than 256
+        sets += [np.unique(np.where(rnd.random(len(base)) < p, rnd.integers(0, 1 << 63, len(base)).astype(np.uint64), base)) for p in (0, 0.1, 0.13)]
+    flat, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    prefix, cuts = nj.Order(np.zeros(0, np.uint64)).prefixes(flat, edges)
+    ids = [10**15 + 7 * k for k in range(len(sets))]
+    rows = pa.record_batch({"doc_id": ids, "n": [len(s) for s in sets], "sigs": [prefix[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]})
+    packs = pa.Table.from_batches(list(nj._deal(40, 1)(iter([rows]))))
+    blobs = [packs.column(c) for c in packs.column_names if c not in ("bucket", "salt")]
+    assert packs.num_rows == 40 and sum(len(x.as_buffer()) for c in blobs for x in c) < 7 * len(prefix)  # 18 when each had its document's id, size and a wide place
+    met = [nj._meetings(packs.filter(pa.array(np.arange(40) == k))).to_pylist() for k in range(40)]
+    pairs, held = {(r["a"], r["b"]) for m in met for r in m if r["a"] is not None}, defaultdict(set)
+    for r in (r for m in met for r in m if r["sig"] is not None):
+        held[r["sig"]].add(r["doc_id"])
+    near = [(ids[a], ids[b]) for k in range(0, len(sets), 3) for a, b in ((k, k + 1), (k, k + 2), (k + 1, k + 2)) if nj.linked_sets(sets[a], sets[b])]
+    assert len(near) > 100 and all(p in pairs or any({*p} <= v for v in held.values()) for p in near)
+
+
+def test_narrow_integers_come_back():
+    for x in ([5], [-(1 << 63), (1 << 63) - 1], [-3, 252], [-3, 253], [1 << 40, (1 << 40) + 65536]):
+        assert nj.widened([nj.narrowed(np.array(x)), nj.narrowed(np.array(x[::-1]))]).tolist() == x + x[::-1]
+
+
+def test_stored_points_are_small_and_bound_the_overlap_from_above():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 30, 490, 490, 3000)]
+    sets += [np.concatenate([s[: len(s) // 2], s[len(s) // 2 :] + np.uint64(1 << 20)]) for s in sets]
+    sets += [np.arange(k, dtype=np.uint64) << np.uint64(20) for k in (20, 300)]  # all in one group: more than half a byte, more than a byte
+    flat, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    packed = nj.packed_points(flat, edges, nj.SENT)
+    points = nj.Points(packed)
+    assert [len(p) for p in packed[:5]] == [33, 33, 129, 129, 1025] and [len(p) for p in packed[-2:]] == [65, 1 + 4 * 256]
+    x, y = np.triu_indices(len(sets))
+    for a, b, room in zip(x.tolist(), y.tolist(), points.bounds(x, y).tolist(), strict=True):
+        g = min(packed[a][0], packed[b][0])
+        counts = [np.bincount((sets[k] & np.uint64((1 << g) - 1)).astype(np.int64), minlength=1 << g) for k in (a, b)]
+        assert room == np.minimum(*counts).sum() >= len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_what_the_join_stores_is_small_beside_the_texts(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(k, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(404))) for k in range(300)]
+    kept, real = [], nj.staged
+
+    def staged(df):
+        out = real(df)
+        kept.append(sum(f.stat().st_size for f in Path(out.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent.iterdir()))
+        return out
+
+    monkeypatch.setattr(nj, "staged", staged)
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(tuple, got)) == [(k, 400, k) for k in range(300)]
+    assert kept[0] < 300 * 400 < 300 * 101 * 8  # the last: its prefixes alone
+
+
+def test_each_text_of_a_repeated_doc_id_counts_in_a_block():
+    rnd = np.random.default_rng(10)
+    for n in (3, 40):  # a tree of one leaf and a larger one
+        sets = [np.unique(rnd.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(n)]
+        second = np.unique(np.concatenate([sets[2][:190], rnd.integers(0, 1 << 63, 90).astype(np.uint64)[:5]]))  # of document 0, near document 2
+        docs, both = [*range(n), 0], [*sets, second]
+        part = pa.table({"sig": [1] * n, "lo": [0] * n, "band": [0] * n, "doc_id": list(range(n)), "label": list(range(n)), "chunk": [0] * n, "i": [0] * n, "j": [0] * n})
+        for order in (range(n + 1), range(n, -1, -1)):
+            vectors = pa.table({"doc": [docs[k] for k in order], "n": [len(both[k]) for k in order], "vec": pa.array(nj.packed_points(np.concatenate([both[k] for k in order]), np.concatenate([[0], np.cumsum([len(both[k]) for k in order])]), nj.SENT), pa.binary())})
+            near = nj._met(part, vectors)
+            assert {0, 2} <= {*near.column("doc_id").to_pylist()}
+            got = nj._joined(near, pa.table({"doc": [docs[k] for k in order], "members": pa.array([both[k].tobytes() for k in order], pa.binary())}))
+            assert got.to_pylist() == [{"a": 0, "b": 2}]
+
+
 def test_words_of_any_length_are_told_apart_and_sets_are_those_of_each_text():
     from corvane.llm.words import shingle_runs, shingle_sets, words_of
 
